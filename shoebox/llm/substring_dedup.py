@@ -87,20 +87,21 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
         self.spark, self.root, self.fanout = spark, root or c.shared_dir(spark), fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[DataFrame] = []
+        self.runs: list[tuple[DataFrame, str]] = []  # each with its folder
 
-    def _run(self, rows: DataFrame) -> DataFrame:
+    def _run(self, rows: DataFrame) -> tuple[DataFrame, str]:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
         keys = ("anchor", "segment")
-        rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}").saveAsTable(name)
+        path = f"{self.root}/{name}"
+        rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
         run = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # external: the files stay
-        return run
+        return run, path
 
     def add(self, segments: DataFrame) -> None:
         """Merge-joins a batch's segments with every run; what they lack becomes a run of its own."""
         new = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first_doc"))
-        for run in self.runs:
+        for run, _ in self.runs:
             old = run.withColumnRenamed("first_doc", "known")
             same = (new.anchor == old.anchor) & (new.segment == old.segment) & (old.known <= new.first_doc)
             new = new.join(old, same, "left_anti")
@@ -110,10 +111,12 @@ class FingerprintIndex:
 
     def rows(self) -> DataFrame:
         """One row per fingerprint over all runs."""
-        first, *others = self.runs
-        for run in others:
-            first = first.unionByName(run)
-        return first.groupBy("anchor", "segment").agg(F.min("first_doc").alias("first_doc")) if others else first
+        run, _ = self.runs[0]
+        if len(self.runs) == 1:
+            return run
+        # Read as plain files: a union of bucketed scans may count as partitioned by key when it isn't.
+        every = self.spark.read.schema(run.schema).parquet(*(path for _, path in self.runs))
+        return every.groupBy("anchor", "segment").agg(F.min("first_doc").alias("first_doc"))
 
     def compact(self) -> None:
         if len(self.runs) > 1:
