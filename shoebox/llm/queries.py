@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as c
 from .bpe import bpe_round_trip
+from .decontaminate import decontaminate
+from .katz import katz_scores
+from .licences import licence_scan, licence_sql
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .token_files import token_files
+from .transport_stream import media_round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +28,42 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(c.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_bpe)}
-ORACLES: dict[str, str] = {}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(c.documents(spark, sf_dir), c.labels(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(c.documents(spark, sf_dir))
+
+
+def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(c.documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(c.documents(spark, sf_dir), c.benchmark(spark, sf_dir))
+
+
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(c.documents(spark, sf_dir))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(c.documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_simhash,
+        op3_bpe,
+        op4_quality,
+        op6_token_files,
+        op7_transport_stream,
+        op8_decontaminate,
+        op9_katz,
+        op10_licences,
+    )
+}
+ORACLES: dict[str, str] = {"op10_licences": licence_sql()}
