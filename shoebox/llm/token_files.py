@@ -26,11 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from .bpe import VOCABULARY, _BLANKS, vocabulary_path
+from .bpe import VOCABULARY, vocabulary_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 700_000
+#: Cached pieces of a Python worker.
+CACHE_PIECES = 3_000_000
+CLOSING, ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+CLOSING[list(b".,;:!?")] = True
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+LOWER = np.frombuffer(c.LOWER_ASCII, np.uint8)
 BLOCKS = "shard int, block int, bits int, before long, first_doc long, doc_ids array<long>, ends array<int>, payload binary"
 
 
@@ -58,41 +63,99 @@ def unpack(payload: bytes, bits: int, start: int, end: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache of pieces between blanks, on which no pre-token stands."""
+    """The tokenizers library behind a cache of pieces.
 
-    def __init__(self, path: str):
+    A piece is a stretch between ASCII white space, or its closing punctuation, which is a pre-token of its own after an
+    ASCII letter or digit. Pieces are told apart by a 64-bit hash, over lower-case bytes if all of them are ASCII; their
+    ids lie in one array, so that a whole slice of texts is put together by a few numpy passes.
+    """
+
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = bit_width(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.translate(_BLANKS).split(" ") for t in texts]
-        cache = self.cache
-        lacking = [p for p in set().union(*pieces) if p not in cache]
-        fresh = {}
-        for at in range(0, len(lacking), 20_000):
-            part = lacking[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                fresh[p] = np.array(e.ids, np.uint32).tobytes()
-        both = cache
-        if len(cache) + len(fresh) <= CACHE_PIECES:
-            cache.update(fresh)
-        else:
-            both = _Both(fresh, cache)
-        return [np.frombuffer(b"".join([both[p] for p in words]), np.uint32) for words in pieces]
-
-
-class _Both(dict):
-    def __init__(self, one: dict, other: dict):
-        super().__init__(one)
-        self.other = other
-
-    def __missing__(self, key: str) -> bytes:
-        return self.other[key]
+        self.cache_pieces = cache_pieces
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.levels = [empty, empty]  # sorted keys, places and lengths: the old ones, and the newest
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and lengths of the pieces' ids in the pool; -1 for an unknown piece."""
+        place, length = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for known, places, lengths in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                place[hit], length[hit] = places[at[hit]], lengths[at[hit]]
+        return place, length
+
+    def _keep(self, keys: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> None:
+        def merged(one, two):
+            joined = [np.concatenate(x) for x in zip(one, two)]
+            order = np.argsort(joined[0], kind="stable")
+            return tuple(x[order] for x in joined)
+
+        self.levels[1] = merged(self.levels[1], (keys, places, lengths))
+        if len(self.levels[1][0]) > 1 << 16:
+            self.levels = [merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends the ids of the texts to the pool; their places and lengths."""
+        lengths, parts = [], []
+        for at in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
+                ids = e.ids
+                lengths.append(len(ids))
+                parts += ids
+        new, length = np.array(parts, np.uint32), np.array(lengths, np.int32)
+        if self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(new), self.used), np.uint32)])
+        self.pool[self.used : self.used + len(new)] = new
+        place = self.used + np.cumsum(length) - length
+        self.used += len(new)
+        return place, length
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the len+1 offsets of the texts in them."""
+        data, offsets = c.byte_view(texts)
+        starts, ends, words = c.word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        stem = ends.copy()
+        for _ in range(4):
+            stem -= (stem > starts + 1) & CLOSING[data[stem - 1]]
+        split = (stem < ends) & ALNUM[data[stem - 1]]
+        first = np.arange(len(starts)) + np.cumsum(split) - split
+        a, b = np.empty(len(starts) + int(split.sum()), np.int64), np.empty(len(starts) + int(split.sum()), np.int64)
+        a[first], b[first] = starts, np.where(split, stem, ends)
+        a[first[split] + 1], b[first[split] + 1] = stem[split], ends[split]
+        values = c.byte_values()
+        keys = c.span_hash(c.prefix_sums(values[LOWER[data]]), a, b)
+        raw = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data >= 128) | (data == ord("<")), out=raw[1:])
+        as_is = raw[b] > raw[a]
+        if as_is.any():
+            keys[as_is] = c.mix(c.span_hash(c.prefix_sums(values[data]), a[as_is], b[as_is]) + np.uint64(1))
+        distinct, where, of = np.unique(keys, return_index=True, return_inverse=True)
+        place, length = self._find(distinct)
+        lacking = np.flatnonzero(place < 0)
+        before = self.used
+        if len(lacking):
+            text = data.tobytes()
+            place[lacking], length[lacking] = self._library([text[i:j].decode() for i, j in zip(a[where[lacking]].tolist(), b[where[lacking]].tolist())])
+        n = length[of].astype(np.int64)
+        total = np.cumsum(n)
+        ids = self.pool[np.repeat(place[of] - (total - n), n) + np.arange(total[-1])]
+        if len(lacking):
+            if sum(len(x[0]) for x in self.levels) + len(lacking) <= self.cache_pieces:
+                self._keep(distinct[lacking], place[lacking], length[lacking])
+            else:
+                self.used = before  # no room: the new ones served this slice alone
+        pieces_before = np.append(first, len(a))[words]
+        return ids, np.append(0, total)[pieces_before]
 
 
 @lru_cache(maxsize=1)
@@ -106,19 +169,21 @@ def library_encoder(name: str) -> LibraryEncoder:
 def _blocks(batches: Iterator[pa.RecordBatch], name: str, block_ids: int) -> Iterator[pa.RecordBatch]:
     """Blocks of one shard out of its texts in ascending order."""
     enc, shard = library_encoder(name), TaskContext.get().partitionId()
-    block, before, docs, parts, size = 0, 0, [], [], 0
+    block, before, docs, parts, size, end = 0, 0, [], [], 0, np.array([END_ID], np.uint32)
 
     def flush() -> pa.RecordBatch:
         ids = np.concatenate(parts)
-        ends = np.cumsum([len(p) for p in parts])
+        ends = np.cumsum([len(p) + 1 for p in parts[::2]])
         row = {"shard": [shard], "block": [block], "bits": [enc.bits], "before": [before], "first_doc": [docs[0]], "doc_ids": [docs], "ends": [ends.tolist()], "payload": [pack(ids, enc.bits)]}
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
     for batch in c.text_slices(batches):
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()])):
+        flat, at = enc.encode(batch.column("text"))
+        for k, doc in enumerate(batch.column("doc_id").to_pylist()):
+            ids = flat[at[k] : at[k + 1]]
             docs.append(doc)
-            parts.append(np.append(ids, np.uint32(END_ID)))
+            parts += (ids, end)
             size += len(ids) + 1
             if size >= block_ids:
                 yield flush()
