@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -186,7 +187,7 @@ class PrefixEncoder:
     def encode_text(self, text: str) -> tuple[str, str, int]:
         """Ids joined by spaces, decoded text (the library's decode joins the tokens by spaces), number of ids."""
         get, make = self.cache.get, self._piece
-        found = [get(p) or make(p) for p in text.translate(_BLANKS).split(" ") if p]
+        found = [get(p) or make(p) for p in pieces(text)]
         total = sum([x[2] for x in found])
         return " ".join([x[0] for x in found if x[2]]), " ".join([x[1] for x in found if x[2]]), total
 
@@ -198,8 +199,13 @@ class PrefixEncoder:
         return " ".join(self.token_of[i] for i in ids)
 
 
-#: White space on which no pre-token ever stands; other white space stays inside a piece and is handled there.
-_BLANKS = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
+#: Python splits at these too, but they are no white space to the library.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def pieces(text: str) -> list[str]:
+    """The stretches between white space, on which no pre-token ever stands."""
+    return text.split() if not _SEPARATORS.search(text) else [p for p in re.split(r"[ \t\n\r\f\v]+", text) if p]
 
 
 @lru_cache(maxsize=2)
@@ -207,7 +213,7 @@ def encoder(name: str = VOCABULARY) -> PrefixEncoder:
     return PrefixEncoder(vocabulary_path(name))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], name: str, outputs: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], name: str, ids: bool, decoded: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(name)
     for batch in c.text_slices(batches):
         rows = [enc.encode_text(t or "") for t in batch.column("text").to_pylist()]
@@ -217,19 +223,20 @@ def _encoded(batches: Iterator[pa.RecordBatch], name: str, outputs: bool) -> Ite
             "ids_sha256": pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _, _ in rows], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d, _ in rows], pa.string()),
         }
-        if outputs:
-            ids = [np.array(i.split(), np.int32) for i, _, _ in rows]
-            out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([d for _, d, _ in rows], pa.string())}
+        if ids:
+            out["ids"] = pa.array([np.fromstring(i, np.int32, sep=" ") for i, _, _ in rows], pa.list_(pa.int32()))
+        if decoded:
+            out["decoded"] = pa.array([d for _, d, _ in rows], pa.string())
         yield pa.RecordBatch.from_pydict(out)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, outputs: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_tokens, ids_sha256 and decoded_sha256; with ``outputs`` also ids and decoded.
+def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_tokens, ids_sha256 and decoded_sha256; on demand also ids and decoded.
 
     ``vocabulary`` is a file name among the public tokenizers or a path that every machine has. Null or empty text:
     no ids, digests of the empty string. Repeated rows and null ids are encoded like any other. Other columns are
     ignored. One pass without a shuffle.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_encoded, name=vocabulary, outputs=outputs), schema)
+    return rows.mapInArrow(partial(_encoded, name=vocabulary, ids=ids, decoded=decoded), schema)

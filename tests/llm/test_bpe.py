@@ -35,7 +35,7 @@ def test_odd_rows(odd_docs, no_docs, library):
 
 
 def test_outputs(odd_docs, library):
-    for r in bpe_round_trip(odd_docs, outputs=True).collect():
+    for r in bpe_round_trip(odd_docs, ids=True, decoded=True).collect():
         assert r.n_tokens == len(r.ids) and r.decoded == library.decode(r.ids, skip_special_tokens=False)
 
 
