@@ -13,6 +13,7 @@ from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_files import token_files
+from .toxicity import toxicity_scores
 from .transport_stream import media_round_trip
 
 
@@ -32,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(c.documents(spark, sf_dir), c.labels(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(c.documents(spark, sf_dir), c.labels(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(c.documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES = {
         op2_simhash,
         op3_bpe,
         op4_quality,
+        op5_toxicity,
         op6_token_files,
         op7_transport_stream,
         op8_decontaminate,

@@ -127,7 +127,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in c.text_slices(batches):
         packed = [squeeze(t.encode()) if t else b"" for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "packed": pa.array(packed, pa.binary())})
+        same = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+        yield pa.RecordBatch.from_pydict(same | {"packed": pa.array(packed, pa.binary())})
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -154,7 +155,7 @@ def _checked_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int)
             yield pa.RecordBatch.from_pydict({"doc_id": same("doc_id"), "row": same("row"), "one": one.view(np.int64), "two": two.view(np.int64), "start": at.astype(np.int32)})
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool, carry: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks, singles = batch.column("marks").to_pylist(), batch.column("singles").to_pylist()
         total, removed, digest, kept_texts = [], [], [], []
@@ -177,12 +178,14 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Ite
             kept_texts.append((kept if gone else raw).decode())
         out = {"doc_id": batch.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if with_text:
-            out |= {"row": batch.column("row"), "kept_text": pa.array(kept_texts, pa.string())}
+            out["kept_text"] = pa.array(kept_texts, pa.string())
+        out |= {n: batch.column(n) for n in carry}
         yield pa.RecordBatch.from_pydict(out)
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256, and kept_text if asked for.
+def substring_dedup(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256; on demand kept_text, and with ``carry`` the
+    other columns, each with the prefix ``in_``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id.
     Documents come in ``batches`` ranges of doc_id, as an incremental run would bring them.
@@ -208,10 +211,14 @@ def substring_dedup(docs: DataFrame, batches: int = 3, window: int = WINDOW, gra
         seen.where("NOT whole").join(several, "anchor").select("doc_id", "row", "start", "windows", "whole")
     )
     marks = c.written(marks.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "whole")).alias("marks")), f"{root}/marks")
-    packed = texts.mapInArrow(_packed, "doc_id long, row long, packed binary")
+    others = [(f"in_{f.name}", f.dataType.simpleString(), F.col(f"`{f.name}`")) for f in docs.schema if carry and f.name not in ("doc_id", "text")]
+    also = "".join(f", `{name}` {kind}" for name, kind, _ in others)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text", *(col.alias(name) for name, _, col in others))
+    packed = whole.mapInArrow(_packed, f"doc_id long, row long{also}, packed binary")
     marked = packed.join(marks, ["doc_id", "row"], "left")
     single = marked.where("exists(marks, m -> NOT m.whole)").mapInArrow(partial(_checked_windows, window=window, gram=gram), "doc_id long, row long, one long, two long, start int")
     first = single.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc"))
     singles = single.join(first, ["one", "two"]).where("first_doc < doc_id").groupBy("doc_id", "row").agg(F.collect_set("start").alias("singles"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", row long, kept_text string" * with_text
-    return marked.join(singles, ["doc_id", "row"], "left").mapInArrow(partial(_cut, window=window, with_text=with_text), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + also
+    step = partial(_cut, window=window, with_text=with_text, carry=[name for name, _, _ in others])
+    return marked.join(singles, ["doc_id", "row"], "left").mapInArrow(step, schema)
