@@ -9,7 +9,7 @@ logistic function of the margins of all its windows, calibrated on labelled text
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -23,7 +23,7 @@ from . import common as c
 from .quality import labelled_sample
 
 #: Bounds of the labelled sample that the model is fitted on, by label.
-TOXIC_ROWS, ORDINARY_ROWS = 4_000, 8_000
+TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
 GRAM, LONGEST, RATIO = 5, 12, 20.0
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4_096, 16_384, 9
 CACHE_WORDS = 500_000
@@ -41,11 +41,17 @@ def _grams(word: bytes) -> set[bytes]:
     return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)} | {w[:n] for n in range(GRAM + 1, min(len(w), LONGEST) + 1)}
 
 
-def marking_grams(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
-    """Byte grams inside words that many more toxic than ordinary texts have."""
-    one, two = (Counter(g for words in texts for g in set().union(*map(_grams, words))) for texts in (toxic, ordinary))
+def marking_grams(toxic: list[set[bytes]], ordinary: Iterable[set[bytes]]) -> set[bytes]:
+    """Grams that many more toxic than ordinary texts have. Only grams of toxic texts are counted in the others."""
+    one, two, others = Counter(), Counter(), 0
+    for words in toxic:
+        one.update(set().union(*map(_grams, words)))
     least = max(3, 0.025 * len(toxic))
-    return {g for g, n in one.items() if n >= least and (n / len(toxic)) / ((two[g] + 0.5) / max(1, len(ordinary))) > RATIO}
+    one = {g: n for g, n in one.items() if n >= least}
+    for words in ordinary:
+        others += 1
+        two.update(set().union(*map(_grams, words)) & one.keys())
+    return {g for g, n in one.items() if (n / len(toxic)) / ((two[g] + 0.5) / max(1, others)) > RATIO}
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -120,7 +126,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
 
 def fit_texts(texts: list[str], toxic: list[bool]) -> Toxicity:
     """Two thirds of the texts train the dictionaries, one third calibrates; without both labels scores are constant."""
-    words = [words_of(t) for t in texts]
     constant = Toxicity(b"", b"", (0.0,) * 7, (1.0,) * 7, (0.0,) * 7, -40.0 if not any(toxic) else 40.0)
     if not any(toxic) or all(toxic):
         return constant
@@ -130,10 +135,12 @@ def fit_texts(texts: list[str], toxic: list[bool]) -> Toxicity:
         part = train = np.ones(len(texts), dtype=bool)  # too few texts to keep some apart
     else:
         train = ~part
-    sets = [{w.strip(EDGE) for w in ws} for ws in words]
-    one = [sets[i] for i in np.flatnonzero(train & y)]
-    two = [sets[i] for i in np.flatnonzero(train & ~y)]
-    marks = marking_grams(one, two)
+
+    def stripped(which: np.ndarray) -> Iterator[set[bytes]]:
+        return ({w.strip(EDGE) for w in words_of(texts[i])} for i in np.flatnonzero(which))
+
+    one = list(stripped(train & y))
+    marks = marking_grams(one, stripped(train & ~y))
 
     def marked(w: bytes) -> bool:
         inner = _grams(w)
@@ -146,9 +153,9 @@ def fit_texts(texts: list[str], toxic: list[bool]) -> Toxicity:
     # Training keeps what many samples share; the marked words themselves, the frequent ones last, go before it.
     often = Counter(w for sample in samples for w in sample.split())
     listed = b" " + b" ".join(sorted(often, key=lambda w: (often[w], w))) + b" "
-    toxic_part, ordinary_part = listed[-TOXIC_BYTES:] + _train(samples, TOXIC_BYTES), _train([b" " + b" ".join(sorted(s)) + b" " for s in two], ORDINARY_BYTES)
+    toxic_part, ordinary_part = listed[-TOXIC_BYTES:] + _train(samples, TOXIC_BYTES), _train([b" " + b" ".join(sorted(s)) + b" " for s in stripped(train & ~y)], ORDINARY_BYTES)
     known = Margins(toxic_part, ordinary_part)
-    x = np.array([features(words[i], known) for i in np.flatnonzero(part)])
+    x = np.array([features(words_of(texts[i]), known) for i in np.flatnonzero(part)])
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     w, offset = _logistic((x - mean) / scale, y[part])
