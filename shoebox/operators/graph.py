@@ -20,7 +20,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is written out, which keeps the plan short and survives lost executors.
     """
     root = scratch(edges.sparkSession)
-    now = _stored(edges.where("src <> dst").selectExpr("least(src, dst) AS a", "greatest(src, dst) AS b").distinct(), f"{root}/0")
+    now = stored(edges.where("src <> dst").selectExpr("least(src, dst) AS a", "greatest(src, dst) AS b").distinct(), f"{root}/0")
     previous, k = None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -46,7 +48,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = _stored(small.where("a <> b").distinct(), f"{root}/{k}")
+        now = stored(small.where("a <> b").distinct(), f"{root}/{k}")
     stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
@@ -103,12 +105,12 @@ def chinese_whispers(nodes: DataFrame, edges: DataFrame, iterations: int = 20, s
 
 def _synchronous(links: DataFrame, iterations: int) -> DataFrame:
     root = scratch(links.sparkSession)
-    links = _stored(links.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), f"{root}/links")
+    links = stored(links.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), f"{root}/links")
     label = links.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
     for k in range(iterations):
         votes = links.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("weight"))
         new = votes.groupBy(F.col("src").alias("node")).agg(F.max_by("label", F.struct("weight", -F.col("label"))).alias("label"))
-        new = _stored(new, f"{root}/{k}")
+        new = stored(new, f"{root}/{k}")
         if not new.exceptAll(label).limit(1).count():
             break
         label = new

@@ -1,7 +1,8 @@
 """Clusters of items (people of faces, themes of photos) and their life: assign, re-cluster, merge, split, reset.
 
 Tables: faces (face_id, photo_id, quality, embedding, cluster_id, assigned), clusters (cluster_id, label, pinned,
-rep_face_id, size, centroid). Operators return new versions of both; nothing is changed in place.
+rep_face_id, size, centroid). Operators return new versions of both, stored in the shared folder so that a chain of
+steps is not computed again and again; nothing is changed in place.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import scalars as fn
-from .graph import by_size, chinese_whispers
+from .graph import by_size, chinese_whispers, stored
 from .vector import assign_nearest, centroids, knn_graph
 
 CLUSTER_COLUMNS = ["cluster_id", "label", "pinned", "rep_face_id", "size", "centroid"]
@@ -20,8 +21,8 @@ CLUSTER_COLUMNS = ["cluster_id", "label", "pinned", "rep_face_id", "size", "cent
 def cluster_vectors(rows: DataFrame, k: int = DEFAULTS.cluster_k, threshold: float = DEFAULTS.edge_threshold, key: str = "id", vector: str = "embedding", seed: int = 0) -> DataFrame:
     """(key, cluster): neighbour graph, Chinese Whispers, and numbers by size."""
     nodes = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("node"))
-    labels = chinese_whispers(nodes, knn_graph(rows, k, threshold, key, vector), seed=seed)
-    return by_size(labels).select(F.col("node").alias(key), "cluster")
+    labels = chinese_whispers(nodes, stored(knn_graph(rows, k, threshold, key, vector)), seed=seed)
+    return stored(by_size(stored(labels)).select(F.col("node").alias(key), "cluster"))
 
 
 def themes(photos: DataFrame, k: int = DEFAULTS.theme_k, threshold: float = DEFAULTS.theme_edge, min_size: int = DEFAULTS.theme_min_size) -> DataFrame:
@@ -45,7 +46,7 @@ def cluster_stats(faces: DataFrame) -> DataFrame:
 
 def recompute(faces: DataFrame, clusters: DataFrame) -> DataFrame:
     """The clusters with their figures made anew from the faces; empty ones go."""
-    return clusters.select("cluster_id", "label", "pinned").join(cluster_stats(faces), "cluster_id").select(*CLUSTER_COLUMNS)
+    return stored(clusters.select("cluster_id", "label", "pinned").join(cluster_stats(faces), "cluster_id").select(*CLUSTER_COLUMNS))
 
 
 def _with_cluster(faces: DataFrame, found: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def _with_cluster(faces: DataFrame, found: DataFrame) -> DataFrame:
 def assign_pending(faces: DataFrame, clusters: DataFrame, threshold: float = DEFAULTS.assign_threshold) -> tuple[DataFrame, DataFrame]:
     """Pending faces join the nearest centroid that is near enough; centroids are made anew after the batch."""
     found = assign_nearest(faces.where("assigned = 0"), clusters.where(F.col("centroid").isNotNull()), threshold)
-    faces = _with_cluster(faces, found.select("face_id", F.col("cluster_id").alias("new_cluster")))
+    faces = stored(_with_cluster(faces, found.select("face_id", F.col("cluster_id").alias("new_cluster"))))
     return faces, recompute(faces, clusters)
 
 
@@ -71,10 +72,11 @@ def recluster_pending(faces: DataFrame, clusters: DataFrame, k: int = DEFAULTS.c
     pending = faces.where("assigned = 0").select("face_id", "embedding", "quality")
     reps = clusters.where(F.col("rep_face_id").isNotNull()).select("cluster_id", "pinned", "size", F.col("rep_face_id").alias("face_id"))
     reps = reps.join(faces.select("face_id", "embedding"), "face_id")
-    nodes = pending.select("face_id", "embedding").unionByName(reps.select("face_id", "embedding"))
+    nodes = stored(pending.select("face_id", "embedding").unionByName(reps.select("face_id", "embedding")))
     group = cluster_vectors(nodes, k, threshold, "face_id")
     of_rep = reps.join(group, "face_id")
     first = F.struct(F.col("pinned") if protect_pinned else F.lit(0), F.col("size"), -F.col("cluster_id"))
+    of_rep = stored(of_rep)
     target = of_rep.groupBy("cluster").agg(F.max_by("cluster_id", first).alias("target"))
     moves = of_rep.join(target, "cluster").where("cluster_id <> target")
     if protect_pinned:
@@ -85,7 +87,7 @@ def recluster_pending(faces: DataFrame, clusters: DataFrame, k: int = DEFAULTS.c
     fresh = pending.join(group, "face_id").join(target, "cluster", "left_anti").groupBy("cluster").agg(F.min("face_id").alias("least"))
     fresh = fresh.select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1 + top).cast("long").alias("target"))
     found = pending.select("face_id").join(group, "face_id").join(target.unionByName(fresh), "cluster").select("face_id", F.col("target").alias("new_cluster"))
-    rows = _with_cluster(rows, found)
+    rows = stored(_with_cluster(rows, found))
     kept = clusters.join(moves, "cluster_id", "left_anti").select("cluster_id", "label", "pinned")
     new = fresh.select(F.col("target").alias("cluster_id"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("pinned"))
     return rows, recompute(rows, kept.unionByName(new))
@@ -97,7 +99,7 @@ def reset_unpinned(faces: DataFrame, clusters: DataFrame) -> tuple[DataFrame, Da
     rows = faces.join(loose, "cluster_id", "left")
     free = F.coalesce("__loose", F.lit(False))
     rows = rows.withColumns({"assigned": F.when(free, 0).otherwise(F.col("assigned")), "cluster_id": F.when(~free, F.col("cluster_id"))}).select(faces.columns)
-    return rows, clusters.where("pinned <> 0")
+    return stored(rows), stored(clusters.where("pinned <> 0"))
 
 
 def update_people(faces: DataFrame, clusters: DataFrame, force: bool = False, pool: int = DEFAULTS.pool_threshold) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +116,7 @@ def update_people(faces: DataFrame, clusters: DataFrame, force: bool = False, po
 def merge_clusters(faces: DataFrame, clusters: DataFrame, target: int, others: list[int]) -> tuple[DataFrame, DataFrame]:
     """The others' faces go to the target, which keeps its label."""
     gone = [o for o in others if o != target]
-    rows = faces.withColumn("cluster_id", F.when(F.col("cluster_id").isin(gone), F.lit(target).cast("long")).otherwise(F.col("cluster_id")))
+    rows = stored(faces.withColumn("cluster_id", F.when(F.col("cluster_id").isin(gone), F.lit(target).cast("long")).otherwise(F.col("cluster_id"))))
     return rows, recompute(rows, clusters.where(~F.col("cluster_id").isin(gone)))
 
 
@@ -125,7 +127,7 @@ def split_cluster(faces: DataFrame, clusters: DataFrame, cluster_id: int, k: int
         return faces, clusters
     parts = cluster_vectors(own, k, min(0.75, edge + 0.15), "face_id")
     top = clusters.agg(F.max("cluster_id")).first()[0] + 1
-    rows = _with_cluster(faces, parts.select("face_id", (F.col("cluster") + top).cast("long").alias("new_cluster")))
+    rows = stored(_with_cluster(faces, parts.select("face_id", (F.col("cluster") + top).cast("long").alias("new_cluster"))))
     new = parts.select((F.col("cluster") + top).cast("long").alias("cluster_id")).distinct().select("cluster_id", F.lit(None).cast("string").alias("label"), F.lit(0).alias("pinned"))
     kept = clusters.where(F.col("cluster_id") != cluster_id).select("cluster_id", "label", "pinned")
     return rows, recompute(rows, kept.unionByName(new))

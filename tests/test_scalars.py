@@ -80,7 +80,7 @@ def test_frontalness(spark):
 def test_image_scores():
     board = np.kron(np.indices((8, 8)).sum(axis=0) % 2, np.ones((8, 8)))[..., None].repeat(3, 2) * 255
     flat = np.full((64, 64, 3), 128)
-    rainbow = np.stack(np.meshgrid(np.linspace(0, 255, 64), np.linspace(0, 255, 64)) + [np.full((64, 64), 40.0)], axis=-1)
+    rainbow = np.stack([*np.meshgrid(np.linspace(0, 255, 64), np.linspace(0, 255, 64)), np.full((64, 64), 40.0)], axis=-1)
     s = {n: pixels.image_scores(i) for n, i in (("board", board), ("flat", flat), ("rainbow", rainbow), ("tiny", np.zeros((1, 1, 3))))}
     assert all(0 <= v <= 1 for pair in s.values() for v in pair)
     assert s["board"][0] > s["flat"][0] and s["rainbow"][1] > s["flat"][1]
