@@ -42,14 +42,15 @@ def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, candidat
     return ("brute" if n <= brute_max else "filtered_hnsw"), nearest(vectors.join(allowed, "id", "left_semi"), query, k)
 
 
-def _block_neighbours(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def _block_neighbours(rows: pd.DataFrame, k: int, itself: bool = False) -> pd.DataFrame:
     one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
     if one.empty or two.empty:
         return pd.DataFrame({"id": [], "other": [], "score": []})
     a, b = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy())
     ids, others = one["id"].to_numpy(), two["id"].to_numpy()
     sims = a @ b.T
-    sims[ids[:, None] == others[None, :]] = -np.inf
+    if not itself:
+        sims[ids[:, None] == others[None, :]] = -np.inf
     order = np.argsort(others, kind="stable")
     sims, others = sims[:, order], others[order]  # equal scores by id
     top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
@@ -59,8 +60,9 @@ def _block_neighbours(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[rows_at][keep], "other": others[top.ravel()][keep], "score": score[keep]})
 
 
-def knn(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None) -> DataFrame:
-    """(id, other, score, rank): the k nearest other rows of every row of ``queries`` (all rows if None), exactly.
+def knn(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None, itself: bool = False) -> DataFrame:
+    """(id, other, score, rank): the k nearest rows of every row of ``queries`` (all rows if None), exactly; a row with
+    the query's own key is none unless ``itself``.
 
     Rows are dealt into blocks; each pair of blocks is a task with one matrix product that hands on k rows per query,
     and the best k over all blocks are taken by a second, bounded step. For very large tables use ``cell_knn``.
@@ -72,7 +74,7 @@ def knn(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding",
     left = asked.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(m))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(1))
     both = left.select("i", "j", "side", "id", "v").unionByName(right.select(F.col("i").cast("long").alias("i"), "j", "side", "id", "v"))
-    found = both.groupBy("i", "j").applyInPandas(partial(_block_neighbours, k=k), "id long, other long, score double")
+    found = both.groupBy("i", "j").applyInPandas(partial(_block_neighbours, k=k, itself=itself), "id long, other long, score double")
     return _best(found, k)
 
 
@@ -131,9 +133,10 @@ def cohesion(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataF
 def assign_nearest(pending: DataFrame, centres: DataFrame, threshold: float = DEFAULTS.assign_threshold, vector: str = "embedding") -> DataFrame:
     """(face_id, cluster_id, score) of the pending faces whose nearest centroid reaches the threshold.
 
-    ``centres`` (cluster_id, centroid) stay as they are during the batch; of equal ones the smallest id wins. They
-    go to the tasks if they are few (Spark decides by their size); otherwise the pairs are made by blocks.
+    ``centres`` (cluster_id, centroid) stay as they are during the batch; of equal ones the smallest id wins. Faces and
+    centres meet in blocks, each a matrix product that hands on one row per face.
     """
-    pairs = pending.where(F.col(vector).isNotNull()).select("face_id", vector).crossJoin(centres.select("cluster_id", "centroid")).select("face_id", "cluster_id", fn.dot(vector, "centroid").alias("score"))
-    best = pairs.groupBy("face_id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("least"))).alias("best"))
-    return best.select("face_id", (-F.col("best.least")).alias("cluster_id"), F.col("best.score").alias("score")).where(F.col("score") >= threshold)
+    targets = centres.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"))
+    asked = pending.select(F.col("face_id").alias("id"), F.col(vector).alias("embedding"))
+    best = knn(targets, 1, queries=asked, itself=True)
+    return best.select(F.col("id").alias("face_id"), F.col("other").alias("cluster_id"), "score").where(F.col("score") >= threshold)
