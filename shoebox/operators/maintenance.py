@@ -40,6 +40,20 @@ def eviction_plan(files: DataFrame, cap: int, keep: str | None = None) -> DataFr
     return rows.where(F.col("total") - (F.col("gone") - F.col("size")) > cap).select("path", "size", "mtime")
 
 
+def preview_requests(cache: DataFrame, wanted: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """The cache (path, size, mtime) with the files that are asked for touched, and the paths that have to be rendered."""
+    asked = wanted.select("path").distinct()
+    touched = cache.join(asked.withColumn("__asked", F.lit(True)), "path", "left")
+    touched = touched.withColumn("mtime", F.when(F.coalesce("__asked", F.lit(False)), F.lit(now)).otherwise(F.col("mtime"))).select(cache.columns)
+    return touched, asked.join(cache, "path", "left_anti")
+
+
+def ensure_idle(jobs: DataFrame) -> None:
+    """RuntimeError while a job runs: compaction has to wait for it."""
+    if jobs.where("state IN ('running', 'queued')").limit(1).count():
+        raise RuntimeError("a job is running")
+
+
 def storage_report(files: DataFrame, caps: dict[str, int | None]) -> DataFrame:
     """(area, bytes, files, cap, over_cap) of (area, size); areas without files have 0 bytes."""
     areas = files.sparkSession.createDataFrame(sorted(caps.items()), "area string, cap long")

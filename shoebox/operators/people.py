@@ -18,6 +18,14 @@ from .vector import assign_nearest, centroids, knn_graph
 CLUSTER_COLUMNS = ["cluster_id", "label", "pinned", "rep_face_id", "size", "centroid"]
 
 
+def kept_detections(detections: DataFrame, min_size: int = DEFAULTS.face_min_size, min_score: float = DEFAULTS.face_min_score) -> DataFrame:
+    """Detections (x1, y1, x2, y2 in pixels, det_score, width, height) that are large and certain enough, with the box
+    bx, by, bw, bh in shares of the image."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = detections.where((F.least(w, h) >= min_size) & (F.col("det_score") >= min_score))
+    return rows.withColumns({"bx": F.col("x1") / F.col("width"), "by": F.col("y1") / F.col("height"), "bw": w / F.col("width"), "bh": h / F.col("height")}).drop("x1", "y1", "x2", "y2")
+
+
 def cluster_vectors(rows: DataFrame, k: int = DEFAULTS.cluster_k, threshold: float = DEFAULTS.edge_threshold, key: str = "id", vector: str = "embedding", seed: int = 0) -> DataFrame:
     """(key, cluster): neighbour graph, Chinese Whispers, and numbers by size."""
     nodes = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("node"))

@@ -82,6 +82,22 @@ def pending_counts(photos: DataFrame) -> DataFrame:
     return photos.agg(*(F.count_if(is_pending(s, counted=True)).alias(s) for s in PENDING))
 
 
+def embedded_pairs(photos: DataFrame) -> DataFrame:
+    """(id, embed_row) of photos with a vector, missing ones too, in the order of the vectors."""
+    return photos.where("embed_at IS NOT NULL AND embed_row IS NOT NULL").select("id", "embed_row").orderBy("embed_row")
+
+
+def thumb_hash(photos: DataFrame, photo_id: int) -> DataFrame:
+    """The content hash of a photo that has a thumbnail."""
+    return photos.where((F.col("id") == photo_id) & F.col("thumb_at").isNotNull() & F.col("content_hash").isNotNull()).select("content_hash")
+
+
+def latest_per(table: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The newest row of each key."""
+    others = [c for c in table.columns if c not in keys]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, "r.*")
+
+
 def tag_counts(tags: DataFrame, photo_tags: DataFrame) -> DataFrame:
     """Every tag with the number of its photos; unused ones have 0. Counted before the join."""
     uses = photo_tags.groupBy("tag_id").agg(F.count("*").alias("count"))

@@ -311,6 +311,26 @@ def assign_nearest_centroid(spark, sf_dir):
     return vector.assign_nearest(faces.where("face_id % 5 = 0"), centres, 0.1).withColumn("score", six("score"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice/100000.0E0 AS det_score, round(8/640.0E0, 6) AS bx, round(l_quantity*2/640.0E0, 6) AS bw, round(l_quantity/480.0E0, 6) AS bh FROM lineitem WHERE least(l_quantity*2, l_quantity) >= 32 AND l_extendedprice/100000.0E0 >= 0.5""")
+def face_detections(spark, sf_dir):
+    """Line items as detections: the box grows with the quantity, the score with the price."""
+    q = F.col("l_quantity")
+    rows = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100_000.0).alias("det_score"), F.lit(8.0).alias("x1"), F.lit(4.0).alias("y1"), (8.0 + 2 * q).alias("x2"), (4.0 + q).alias("y2"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
+    return people.kept_detections(rows).select("l_orderkey", "l_linenumber", "det_score", six("bx").alias("bx"), six("bw").alias("bw"), six("bh").alias("bh"))
+
+
+@query(f"{v.sql('photos')} SELECT id, id*2 AS embed_row FROM photos WHERE embedding IS NOT NULL")
+def embedded_pairs(spark, sf_dir):
+    rows = v.photos(spark, sf_dir).withColumns({"embed_at": F.when(F.col("embedding").isNotNull(), 1.0), "embed_row": F.col("id") * 2})
+    return relational.embedded_pairs(rows)
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def latest_per_user(spark, sf_dir):
+    rows = v.table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("o", F.struct("ts", "event_id"))
+    return relational.latest_per(rows, ["user_id"], "o").select("user_id", "ts", "event_id")
+
+
 @query()
 def communities(spark, sf_dir):
     """Chinese Whispers over the neighbour graph, numbered by size."""

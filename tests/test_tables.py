@@ -101,6 +101,29 @@ def test_eviction(spark):
         maintenance.run_suite(spark, "x")
 
 
+def test_previews_and_idle(spark):
+    cache = spark.createDataFrame([("/a", 1, 1.0), ("/b", 1, 2.0)], "path string, size long, mtime double")
+    touched, missing = maintenance.preview_requests(cache, spark.createDataFrame([("/a",), ("/c",), ("/c",)], "path string"), 9.0)
+    assert {r.path: r.mtime for r in touched.collect()} == {"/a": 9.0, "/b": 2.0} and [r.path for r in missing.collect()] == ["/c"]
+    jobs = spark.createDataFrame([(1, "ingest", "running"), (2, "other", "running")], "id long, kind string, state string")
+    with pytest.raises(RuntimeError):
+        maintenance.ensure_idle(jobs)
+    assert {r.id: r.state for r in mutation.fail_running_jobs(jobs, "ingest", 1.0).collect()} == {1: "error", 2: "running"}
+
+
+def test_streamed_assignment(spark, tmp_path, library):
+    base = [(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])]
+    vectors = spark.createDataFrame([*((f, v) for f, _, v in base), (3, [0.9, 0.1]), (4, [-1.0, 0.0])], "face_id long, embedding array<double>")
+    library.write("faces", spark.createDataFrame([(f, f, 0.5, c, 1) for f, c, _ in base], "face_id long, photo_id long, quality double, cluster_id long, assigned int"))
+    library.write("clusters", spark.createDataFrame([(c, f"p{c}", 1, f, 1, v) for f, c, v in base], "cluster_id long, label string, pinned int, rep_face_id long, size long, centroid array<double>"))
+    new = spark.createDataFrame([(3, 3, 0.4, 0), (4, 4, 0.4, 0)], "face_id long, photo_id long, quality double, assigned int")
+    new.write.parquet(f"file://{tmp_path}/faces")
+    stream = spark.readStream.schema(new.schema).parquet(f"file://{tmp_path}/faces")
+    sessions.run_assignment(stream, library, vectors, f"file://{tmp_path}/cp").awaitTermination()
+    assert {r.face_id: r.cluster_id for r in library.read("faces").collect()} == {1: 1, 2: 2, 3: 1, 4: None}
+    assert {r.cluster_id: r["size"] for r in library.read("clusters").collect()} == {1: 2, 2: 1}
+
+
 def test_paging(spark):
     rows = spark.createDataFrame([(k, float(k // 2), 0) for k in range(5)], "id long, sort_at double, missing int")
     seen, cursor = [], None
