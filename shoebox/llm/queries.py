@@ -72,4 +72,14 @@ QUERIES = {
         op10_licences,
     )
 }
-ORACLES: dict[str, str] = {"op10_licences": licence_sql()}
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w) AS x),
+first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (k) WHERE f < win.doc_id) AS x),
+toks AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS s, count(*) AS n FROM toks ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op10_licences": licence_sql()}
