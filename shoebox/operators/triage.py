@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -158,7 +157,12 @@ def _pick(rows: pd.DataFrame, lam: float, limit: int) -> pd.DataFrame:
 def mmr(best: DataFrame, preset: Preset, limit: int = 50) -> DataFrame:
     """(scope_id, photo_id, pick): diversity selection in each scope, out of collapse_best's rows."""
     need = best.select("scope_id", "photo_id", "base", "base_pos", "embedding")
-    return need.groupBy("scope_id").applyInPandas(partial(_pick, lam=preset.lam, limit=limit), "scope_id long, photo_id long, pick long")
+    lam = preset.lam
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _pick(rows, lam, limit)
+
+    return need.groupBy("scope_id").applyInPandas(run, "scope_id long, photo_id long, pick long")
 
 
 def delete_candidates(rows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -74,10 +73,17 @@ def knn(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding",
     left = asked.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(m))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
     right = rows.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(1))
     both = left.select("i", "j", "side", "id", "v").unionByName(right.select(F.col("i").cast("long").alias("i"), "j", "side", "id", "v"))
-    found = both.groupBy("i", "j").applyInPandas(partial(_block_neighbours, k=k, itself=itself), "id long, other long, score double")
+    found = both.groupBy("i", "j").applyInPandas(_task(k, itself), "id long, other long, score double")
     return _best(found, k)
 
 
+def _task(k: int, itself: bool = False):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_neighbours(rows, k, itself)
+
+    return run
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -107,7 +113,7 @@ def cell_knn(vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, samp
     placed = rows.mapInPandas(cell_of, "id long, v array<double>, near array<int>")
     home = placed.select("id", "v", F.get("near", 0).alias("j"), F.lit(1).alias("side"))
     ask = placed.select("id", "v", F.explode("near").alias("j"), F.lit(0).alias("side"))
-    found = home.unionByName(ask).withColumn("i", F.lit(0)).groupBy("i", "j").applyInPandas(partial(_block_neighbours, k=k), "id long, other long, score double")
+    found = home.unionByName(ask).withColumn("i", F.lit(0)).groupBy("i", "j").applyInPandas(_task(k), "id long, other long, score double")
     return _best(found, k)
 
 
