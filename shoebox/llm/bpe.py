@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 from . import common as c
 
 VOCABULARY = "word_bpe_49k.json"
-#: Cached pieces of a Python worker; what doesn't fit is encoded anew.
-CACHE_PIECES = 500_000
+#: Cached pieces, and as many words, of a Python worker; what doesn't fit is encoded anew.
+CACHE_PIECES = 250_000
 #: Below this character all versions of Unicode agree on letters and digits.
 PLAIN_BELOW = "\u0250"
 END = "Ā"  # the mark of a word's end, beyond the 256 byte values
@@ -119,7 +119,7 @@ class PrefixEncoder:
                 until_one, one = rank[one], parts[one][1]
             else:
                 until_two, two = rank[two], parts[two][0]
-        if len(self.pairs) < 2_000_000:
+        if len(self.pairs) < 500_000:
             self.pairs[left, right] = good
         return good
 
@@ -213,9 +213,12 @@ def encoder(name: str = VOCABULARY) -> PrefixEncoder:
     return PrefixEncoder(vocabulary_path(name))
 
 
+c.hold("bpe", encoder.cache_clear)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, ids: bool, decoded: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(name)
-    for batch in c.text_slices(batches):
+    for batch in c.text_slices(batches, owner="bpe"):
         rows = [enc.encode_text(t or "") for t in batch.column("text").to_pylist()]
         out = {
             "doc_id": batch.column("doc_id"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,14 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by one numpy pass; bounds the memory of a Python worker, not what is read.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: rows of whole texts are long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -57,8 +65,22 @@ def crc_remainder(modulus: int, key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that no piece has much more than ``limit`` bytes of text; a longer text is a piece of its own."""
+#: What operators keep in a worker from task to task, and how to drop it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    _HELD[owner] = clear
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text", owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that no piece has much more than ``limit`` bytes of text; a longer text is a piece of its own.
+
+    Workers serve one operator after another: what others than ``owner`` keep in this one is dropped first.
+    """
+    for other, clear in _HELD.items():
+        if other != owner:
+            clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +92,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, col
             end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def byte_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +122,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(MULTIPLIER, -1, 1 << 64)
     up, down = np.full(size, MULTIPLIER, np.uint64), np.full(size, inverse, np.uint64)
@@ -108,8 +131,17 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULTIPLIER**i and MULTIPLIER**-i modulo 2**64 for i up to n at least."""
-    return _powers(1 << max(22, int(n).bit_length()))
+    """MULTIPLIER**i and MULTIPLIER**-i modulo 2**64 for i up to n at least; one pair of tables is kept."""
+    return _powers(1 << max(21, int(n).bit_length()))
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: a worker serves many tasks, and keeps the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -223,10 +223,13 @@ def _items(rows: tuple[tuple[int, str], ...], window: int) -> Items:
     return read_items(list(rows), window)
 
 
+c.hold("leaks", _items.cache_clear)
+
+
 def _matched(batches: Iterator[pa.RecordBatch], names: list[str], rows: tuple, window: int, coverage: float) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("windows", pa.int64()), ("coverage", pa.float64()), ("exact", pa.bool_()), ("slots", pa.int32())]))
     items = _items(rows, window)
-    for batch in c.text_slices(batches, column="__text"):
+    for batch in c.text_slices(batches, column="__text", owner="leaks"):
         found = pa.array(find_leaks(batch.column("__text"), items, coverage), kind)
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], names=[*names, "__leaks"])
 

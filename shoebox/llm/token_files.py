@@ -166,6 +166,9 @@ def library_encoder(name: str) -> LibraryEncoder:
     return LibraryEncoder(vocabulary_path(name))
 
 
+c.hold("tokens", library_encoder.cache_clear)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], name: str, block_ids: int) -> Iterator[pa.RecordBatch]:
     """Blocks of one shard out of its texts in ascending order."""
     enc, shard = library_encoder(name), TaskContext.get().partitionId()
@@ -178,7 +181,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, block_ids: int) -> Ite
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-    for batch in c.text_slices(batches):
+    for batch in c.text_slices(batches, owner="tokens"):
         flat, at = enc.encode(batch.column("text"))
         for k, doc in enumerate(batch.column("doc_id").to_pylist()):
             ids = flat[at[k] : at[k + 1]]

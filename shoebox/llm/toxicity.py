@@ -102,6 +102,9 @@ def margins(toxic: bytes, ordinary: bytes) -> Margins:
     return Margins(toxic, ordinary)
 
 
+c.hold("toxicity", margins.cache_clear)
+
+
 def features(words: list[bytes], known: Margins) -> list[float]:
     m = np.fromiter(map(known.__getitem__, words), np.int32, len(words)) if words else np.zeros(1, np.int32)
     return [float(m.max()), *(float(np.log1p((m >= k).sum())) for k in (3, 4, 5)), float(np.maximum(m, 0).mean()), float((m >= 4).mean()), float(np.log1p(len(words)))]
@@ -174,7 +177,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROW
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Toxicity) -> Iterator[pa.RecordBatch]:
     known = margins(model.toxic, model.ordinary) if model.toxic else Counter()
-    for batch in c.text_slices(batches):
+    for batch in c.text_slices(batches, owner="toxicity"):
         x = np.array([features(words_of(t), known) for t in batch.column("text").to_pylist()])
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": model.score(x)})
 
