@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 TOKEN = r"[\p{L}\p{N}]+"
+WORD = re.compile(r"[^\W_]+")
 
 
 def fold_text(text: str) -> str:
@@ -42,6 +46,19 @@ def query_words(query: str) -> list[list[str]] | None:
     return [f for f in found if f] or None
 
 
+def phrase_counts(text: str, phrases: list[tuple[str, ...]]) -> list[int]:
+    """The number of tokens, and how often each phrase stands in them."""
+    found = WORD.findall(text.lower() if text.isascii() else fold_text(text))
+    times = Counter(found)
+    out = [len(found)]
+    for p in phrases:
+        if len(p) == 1 or not all(w in times for w in p):
+            out.append(times[p[0]] if len(p) == 1 else 0)
+        else:
+            out.append(sum(tuple(found[i : i + len(p)]) == p for i in range(len(found) - len(p) + 1)))
+    return out
+
+
 def postings(texts: DataFrame, key: str = "photo_id", text: str = "text") -> DataFrame:
     """(key, term, tf, dl) of an inverted index."""
     rows = texts.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(key, tokens(text).alias("t"))
@@ -51,26 +68,24 @@ def postings(texts: DataFrame, key: str = "photo_id", text: str = "text") -> Dat
 def bm25(texts: DataFrame, query: str, limit: int | None = None, key: str = "photo_id", text: str = "text") -> DataFrame:
     """(key, score) of the texts with any word of the query, best (lowest) first, equal ones by key.
 
-    One pass counts the query's phrases in each text, with dl; the corpus figures N, avgdl and n come from the same
-    narrow rows. No posting list is shuffled.
+    One Arrow pass counts the query's phrases in each text, with dl, and the narrow counts are stored; N, avgdl and n come
+    from them, and so do the scores. No posting list is shuffled.
     """
     words = query_words(query)
     rows = texts.where(F.trim(F.coalesce(text, F.lit(""))) != "")
     if not words:
         return rows.select(key, F.lit(0.0).alias("score")).where("false")
-    rows = rows.select(key, tokens(text).alias("t"))
     distinct = sorted({tuple(w) for w in words})
+    size = len(distinct)
 
-    def count(phrase: tuple[str, ...]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter("t", lambda x: x == phrase[0]))
-        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - len(phrase) + 1, F.lit(1)))
-        same = lambda i: F.slice(F.col("t"), i, len(phrase)) == F.array(*map(F.lit, phrase))
-        return F.size(F.filter(starts, same))
+    @F.pandas_udf("array<int>")
+    def counts(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: phrase_counts(t, distinct))
 
-    rows = rows.select(key, F.size("t").alias("dl"), *(count(p).alias(f"tf{k}") for k, p in enumerate(distinct)))
-    stats = rows.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(distinct))))
-    scored = rows.where(" OR ".join(f"tf{k} > 0" for k in range(len(distinct)))).crossJoin(F.broadcast(stats))  # one row
+    found = rows.select(key, counts(text).alias("c"))
+    rows = stored(found.select(key, F.get("c", 0).alias("dl"), *(F.get("c", k + 1).alias(f"tf{k}") for k in range(size))))
+    stats = rows.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(size)))
+    scored = rows.where(" OR ".join(f"tf{k} > 0" for k in range(size))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for k, phrase in enumerate(distinct):
         idf = F.log((F.col("N") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
