@@ -2,7 +2,7 @@
 
 A text becomes a sequence of lower-case tokens (runs of letters, digits and bytes beyond ASCII) in which numbers and
 units are placeholders; a second sequence has placeholders for names too, which are capitalised tokens inside a
-sentence. Windows of the benchmark's sequences are hashed and joined with those of the documents. Where windows of an
+sentence; in a third one capitalised tokens that open a sentence may be names as well. Windows of the benchmark's sequences are hashed and joined with those of the documents. Where windows of an
 item meet those of a document on one diagonal, the slots are compared: each value of the item must always stand for
 one value in the document, and the other way round. A document leaks an item if the agreeing windows cover at least
 half of the item's windows.
@@ -38,6 +38,8 @@ UPPERS[65:91] = True
 STOPS = np.zeros(256, dtype=bool)
 STOPS[list(b".!?\n:")] = True
 LOWER = np.frombuffer(c.LOWER_ASCII, np.uint8)
+#: Sequences without names, with names inside sentences, with every capitalised token as a name.
+LEVELS = PLAIN, INNER, CAPITALS = range(3)
 NUM, UNIT, NAME = (np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949C7DEFEAF5A31, 0xB492B66FBE98F273))
 
 
@@ -57,19 +59,38 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+@lru_cache(maxsize=1)
+def _capitals() -> np.ndarray:
+    """Whether a code point of up to three bytes is a capital."""
+    return np.array([chr(k).isupper() or chr(k).istitle() for k in range(1 << 16)])
+
+
+def _capitalised(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether tokens open with a capital, of any script."""
+    out = UPPERS[data[starts]]
+    for low, high, size in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3)):
+        at = np.flatnonzero((data[starts] >= low) & (data[starts] < high))
+        if len(at):
+            code = data[starts[at]].astype(np.int64) & (0x1F if size == 2 else 0x0F)
+            for k in range(1, size):
+                code = code << 6 | data[starts[at] + k] & 0x3F
+            out[at] = _capitals()[code]
+    return out
+
+
 @dataclass
 class Sequences:
-    """Tokens of the texts of a slice, and the two template sequences over them."""
+    """Tokens of the texts of a slice, and the template sequences over them."""
 
     data: np.ndarray  # lower-case bytes
     starts: np.ndarray
     ends: np.ndarray
-    #: for each of the two sequences: template hash, first token, token after the last, text
+    #: for each of LEVELS: template hash, first token, token after the last, text
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def sequences(data: np.ndarray, offsets: np.ndarray) -> Sequences:
-    """Numbers that follow each other (as in 1,200.50) are one placeholder, and so are names."""
+    """Numbers that follow each other (as in 1,200.50) are one placeholder, and so are names of one sentence."""
     n = len(data)
     token = np.zeros(n + 2, dtype=bool)
     token[1:-1] = TOKEN[data]
@@ -90,16 +111,13 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> Sequences:
     opens = np.ones(len(starts), dtype=bool)
     if len(starts):
         opens[1:] = (stops[starts[1:]] > stops[ends[:-1]]) | (text[1:] != text[:-1])
-    name = UPPERS[data[starts]] & ~opens & ~number & ~unit if len(starts) else np.zeros(0, dtype=bool)
+    name = _capitalised(data, starts) & ~number & ~unit if len(starts) else np.zeros(0, dtype=bool)
     levels = []
-    for with_names in (False, True):
-        template = np.where(number, NUM, np.where(unit, UNIT, hashes))
-        joins = number
-        if with_names:
-            template = np.where(name, NAME, template)
-            joins = number | name
+    for names in (np.zeros(len(starts), dtype=bool), name & ~opens, name):
+        template = np.where(names, NAME, np.where(number, NUM, np.where(unit, UNIT, hashes)))
+        joins = number | names
         begin = np.ones(len(starts), dtype=bool)
-        begin[1:] = ~(joins[1:] & joins[:-1] & (template[1:] == template[:-1]) & (text[1:] == text[:-1]))
+        begin[1:] = ~(joins[1:] & joins[:-1] & (template[1:] == template[:-1]) & (text[1:] == text[:-1]) & ~(names & opens)[1:])
         at = np.flatnonzero(begin)
         levels.append((template[at], at, np.append(at[1:], len(starts)), text[at]))
     return Sequences(low, starts, ends, levels)
@@ -121,14 +139,14 @@ def window_hashes(template: np.ndarray, text: np.ndarray, width: int) -> tuple[n
 class Items:
     """Template windows of a chunk of the benchmark: sorted hashes with (level, item, place), and the items' tokens."""
 
-    widths: list[int]
+    widths: list[list[int]]  # [level]
     hashes: np.ndarray
     level: np.ndarray
     item: np.ndarray
     place: np.ndarray
     ids: list[int]
     windows: dict[tuple[int, int], int]  # (level, item) -> number of windows
-    width_of: list[int]
+    width_of: dict[tuple[int, int], int]
     templates: list[list[np.ndarray]]  # [level][item]
     values: list[list[list[bytes]]]
     sieve: np.ndarray
@@ -143,27 +161,27 @@ def _values(s: Sequences, level: int, which: np.ndarray) -> list[bytes]:
 def read_items(rows: list[tuple[int, str]], window: int = WINDOW) -> Items:
     """Items shorter than a window are one window of their own length; an item of fewer than three tokens has none."""
     found: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-    windows, width_of, templates, values = {}, [], [[], []], [[], []]
+    windows, width_of, templates, values = {}, {}, [[] for _ in LEVELS], [[] for _ in LEVELS]
     for k, (_, text) in enumerate(rows):
         data = np.frombuffer((text or "").encode(), np.uint8)
         s = sequences(data, np.array([0, len(data)]))
-        width = min(window, *(len(level[0]) for level in s.levels))
-        width_of.append(width)
+        tokens = [len(level[0]) for level in s.levels]
         for number, (template, _, _, where) in enumerate(s.levels):
+            width = width_of[number, k] = min(window, tokens[CAPITALS] if number == CAPITALS else min(tokens[PLAIN], tokens[INNER]))
             hashes, at = window_hashes(template, where, width) if width >= 3 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             windows[number, k] = len(hashes)
             templates[number].append(template)
             values[number].append(_values(s, number, np.arange(len(template))))
             found.append((hashes, number, k, at))
     hashes = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-    level = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else np.zeros(0, int)
+    levels = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else np.zeros(0, int)
     item = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, int)
     place = np.concatenate([f[3] for f in found]) if found else np.zeros(0, int)
     order = np.argsort(hashes, kind="stable")
     sieve = np.zeros(1 << 22, dtype=bool)
     sieve[(hashes >> np.uint64(42)).astype(np.int64)] = True
-    widths = sorted({w for w in width_of if w >= 3})
-    return Items(widths, hashes[order], level[order], item[order], place[order], [r[0] for r in rows], windows, width_of, templates, values, sieve)
+    widths = [sorted({w for (number, _), w in width_of.items() if number == level and w >= 3}) for level in LEVELS]
+    return Items(widths, hashes[order], levels[order], item[order], place[order], [r[0] for r in rows], windows, width_of, templates, values, sieve)
 
 
 def _consistent(one: list[bytes], two: list[bytes], slots: np.ndarray) -> bool:
@@ -185,14 +203,14 @@ def find_leaks(texts: pa.Array, items: Items, coverage: float = COVERAGE) -> lis
     s = sequences(data, offsets)
     diagonals: dict[tuple[int, int, int, int], int] = Counter()
     for level, (template, _, _, text) in enumerate(s.levels):
-        for width in items.widths:
+        for width in items.widths[level]:
             hashes, at = window_hashes(template, text, width)
             near = np.flatnonzero(items.sieve[(hashes >> np.uint64(42)).astype(np.int64)])
             hashes, at = hashes[near], at[near]
             low, high = np.searchsorted(items.hashes, hashes, "left"), np.searchsorted(items.hashes, hashes, "right")
             for k in np.flatnonzero(high > low).tolist():
                 for j in range(low[k], high[k]):
-                    if items.level[j] == level and items.width_of[items.item[j]] == width:
+                    if items.level[j] == level and items.width_of[level, int(items.item[j])] == width:
                         diagonals[int(text[at[k]]), level, int(items.item[j]), int(at[k] - items.place[j])] += 1
     best: dict[tuple[int, int], dict] = {}
     by_pair: dict[tuple[int, int, int], int] = defaultdict(int)

@@ -72,3 +72,18 @@ def test_odd_rows(spark, sf, odd_docs, no_docs):
     assert decontaminate(no_docs, bench).collect() == [] and decontaminate(odd_docs, bench.where("false")).collect() == []
     own = odd_docs.where("doc_id = 1").selectExpr("77L AS item_id", "text")
     assert sorted(r.doc_id or 0 for r in decontaminate(odd_docs, own).collect()) == [0, 1, 2, 3]
+
+
+def test_names_that_open_sentences(spark):
+    item = (1, "Betty has 10 apples. Tom has 20 apples. Anna has twice as many as Tom. How many apples do they have?")
+    accents = (2, "Élodie buys 3 red pears. Then Élodie and Łukasz eat 2 of the pears. Łukasz likes them. What is left of all pears?")
+    swapped = item[1].replace("Betty", "Carl").replace("Tom", "Susan").replace("Anna", "Peter")
+    texts = [
+        swapped,
+        swapped.replace("as many as Susan", "as many as Carl"),  # Tom stands for two now
+        "First:\n" + accents[1].replace("Élodie", "Zoé").replace("Łukasz", "Дмитрий"),
+        "Betty was here. Tom was not. How many of them do you know?",
+    ]
+    got = leaks(spark, texts, [item, accents])
+    assert sorted(got) == [(0, 1), (2, 2)]
+    assert got[0, 1].coverage == 1.0 and not got[0, 1].exact and got[0, 1].n_changed == 4
