@@ -2,7 +2,8 @@
 
 A text becomes a sequence of lower-case tokens (runs of letters, digits and bytes beyond ASCII) in which numbers and
 units are placeholders; a second sequence has placeholders for names too, which are capitalised tokens inside a
-sentence; in a third one capitalised tokens that open a sentence may be names as well. Windows of the benchmark's sequences are hashed and joined with those of the documents. Where windows of an
+sentence; in a third one capitalised tokens that open a sentence may be names as well. A fourth sequence is the tokens
+themselves, for verbatim copies of items most of whose windows hold few words besides numbers and units. Windows of the benchmark's sequences are hashed and joined with those of the documents. Where windows of an
 item meet those of a document on one diagonal, the slots are compared: each value of the item must always stand for
 one value in the document, and the other way round. A document leaks an item if the agreeing windows cover at least
 half of the item's windows.
@@ -38,8 +39,8 @@ UPPERS[65:91] = True
 STOPS = np.zeros(256, dtype=bool)
 STOPS[list(b".!?\n:")] = True
 LOWER = np.frombuffer(c.LOWER_ASCII, np.uint8)
-#: Sequences without names, with names inside sentences, with every capitalised token as a name.
-LEVELS = PLAIN, INNER, CAPITALS = range(3)
+#: Sequences without names, with names inside sentences, with every capitalised token as a name, without placeholders.
+LEVELS = PLAIN, INNER, CAPITALS, RAW = range(4)
 NUM, UNIT, NAME = (np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949C7DEFEAF5A31, 0xB492B66FBE98F273))
 
 
@@ -120,17 +121,22 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> Sequences:
         begin[1:] = ~(joins[1:] & joins[:-1] & (template[1:] == template[:-1]) & (text[1:] == text[:-1]) & ~(names & opens)[1:])
         at = np.flatnonzero(begin)
         levels.append((template[at], at, np.append(at[1:], len(starts)), text[at]))
+    every = np.arange(len(starts))
+    levels.append((hashes, every, every + 1, text))
     return Sequences(low, starts, ends, levels)
 
 
-def window_hashes(template: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows that lie in one text, and their places. Windows of nothing but placeholders say nothing."""
+def window_hashes(template: np.ndarray, text: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that lie in one text, and their places. Windows of mostly placeholders say nothing."""
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    literal = np.zeros(len(template) + 1, np.int64)
-    np.cumsum((template != NUM) & (template != UNIT) & (template != NAME), out=literal[1:])
-    at = np.flatnonzero((text[:n] == text[width - 1 :]) & (literal[width:] - literal[:n] >= (width + 1) // 2))
+    whole = text[:n] == text[width - 1 :]
+    if level != RAW:
+        literal = np.zeros(len(template) + 1, np.int64)
+        np.cumsum((template != NUM) & (template != UNIT) & (template != NAME), out=literal[1:])
+        whole &= literal[width:] - literal[:n] >= (width + 1) // 2
+    at = np.flatnonzero(whole)
     sums = c.prefix_sums(template)
     return c.span_hash(sums, at, at + width), at
 
@@ -159,7 +165,7 @@ def _values(s: Sequences, level: int, which: np.ndarray) -> list[bytes]:
 
 
 def read_items(rows: list[tuple[int, str]], window: int = WINDOW) -> Items:
-    """Items shorter than a window are one window of their own length; an item of fewer than three tokens has none."""
+    """Items shorter than a window are one window of their own length; a sequence of fewer than three tokens has none."""
     found: list[tuple[np.ndarray, int, int, np.ndarray]] = []
     windows, width_of, templates, values = {}, {}, [[] for _ in LEVELS], [[] for _ in LEVELS]
     for k, (_, text) in enumerate(rows):
@@ -167,8 +173,10 @@ def read_items(rows: list[tuple[int, str]], window: int = WINDOW) -> Items:
         s = sequences(data, np.array([0, len(data)]))
         tokens = [len(level[0]) for level in s.levels]
         for number, (template, _, _, where) in enumerate(s.levels):
-            width = width_of[number, k] = min(window, tokens[CAPITALS] if number == CAPITALS else min(tokens[PLAIN], tokens[INNER]))
-            hashes, at = window_hashes(template, where, width) if width >= 3 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            width = width_of[number, k] = min(window, tokens[number] if number in (CAPITALS, RAW) else min(tokens[PLAIN], tokens[INNER]))
+            hashes, at = window_hashes(template, where, width, number) if width >= 3 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if number == RAW and width_of[PLAIN, k] >= 3 and 2 * windows[PLAIN, k] > tokens[PLAIN] - width_of[PLAIN, k]:
+                hashes, at = hashes[:0], at[:0]  # half of the windows are words enough
             windows[number, k] = len(hashes)
             templates[number].append(template)
             values[number].append(_values(s, number, np.arange(len(template))))
@@ -180,7 +188,7 @@ def read_items(rows: list[tuple[int, str]], window: int = WINDOW) -> Items:
     order = np.argsort(hashes, kind="stable")
     sieve = np.zeros(1 << 22, dtype=bool)
     sieve[(hashes >> np.uint64(42)).astype(np.int64)] = True
-    widths = [sorted({w for (number, _), w in width_of.items() if number == level and w >= 3}) for level in LEVELS]
+    widths = [sorted({w for (number, k), w in width_of.items() if number == level and windows[number, k]}) for level in LEVELS]
     return Items(widths, hashes[order], levels[order], item[order], place[order], [r[0] for r in rows], windows, width_of, templates, values, sieve)
 
 
@@ -204,7 +212,7 @@ def find_leaks(texts: pa.Array, items: Items, coverage: float = COVERAGE) -> lis
     diagonals: dict[tuple[int, int, int, int], int] = Counter()
     for level, (template, _, _, text) in enumerate(s.levels):
         for width in items.widths[level]:
-            hashes, at = window_hashes(template, text, width)
+            hashes, at = window_hashes(template, text, width, level)
             near = np.flatnonzero(items.sieve[(hashes >> np.uint64(42)).astype(np.int64)])
             hashes, at = hashes[near], at[near]
             low, high = np.searchsorted(items.hashes, hashes, "left"), np.searchsorted(items.hashes, hashes, "right")
@@ -228,7 +236,7 @@ def find_leaks(texts: pa.Array, items: Items, coverage: float = COVERAGE) -> lis
         share = min(1.0, by_pair[doc, level, item] / items.windows[level, item])
         old = best.get((doc, item))
         changed = sum(a != b for a, b in zip(mine, theirs))
-        if old is None or (share, exact) > (old["coverage"], old["exact"]):
+        if old is None or share > old["coverage"] or share == old["coverage"] and exact and not old["exact"] and level != RAW:
             best[doc, item] = {"item_id": items.ids[item], "windows": by_pair[doc, level, item], "coverage": share, "exact": exact, "slots": changed}
     for (doc, _), found in sorted(best.items()):
         if found["coverage"] >= coverage:

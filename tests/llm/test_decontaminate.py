@@ -87,3 +87,12 @@ def test_names_that_open_sentences(spark):
     got = leaks(spark, texts, [item, accents])
     assert sorted(got) == [(0, 1), (2, 2)]
     assert got[0, 1].coverage == 1.0 and not got[0, 1].exact and got[0, 1].n_changed == 4
+
+
+def test_verbatim_items_of_few_words(spark):
+    items = [(1, "Convert 5 km 300 m to cm"), (2, "Compute 12 + 7 - 3"), (3, "Add 3 km 20 m, 4 km 50 m, 7 km 90 m and 2 km 15 m")]
+    texts = [f"Before it. {t} After it." for _, t in items]
+    texts += [texts[0].replace("300", "400"), texts[1].replace("7", "8"), "Convert 5 km to m, or 300 m to cm", "12 7 3"]
+    got = leaks(spark, texts, items)
+    assert sorted(got) == [(0, 1), (1, 2), (2, 3)]
+    assert all(r.exact and r.coverage == 1.0 and r.n_changed == 0 for r in got.values())
