@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,8 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that setting is missing."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shoebox-")
-        spark.sparkContext.setCheckpointDir(base)
+    """A fresh folder below spark.checkpoint.dir, or below the session's warehouse, which executors share as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -60,6 +57,15 @@ def written(df: DataFrame, path: str | None = None, partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes written folders that no later step reads, and lets go of the shuffle files of finished steps."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_remainder(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo; a null key counts as the text ''."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -175,6 +181,41 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hash(prefix_sums(byte_values()[data]), starts, ends)
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of byte strings: a chain of bijective mixing steps over eight bytes each, so that no sums or patterns
+    carry over from the bytes to the key. Strings beyond 256 bytes enter by their XXH3."""
+    length = ends - starts
+    key = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
+    at = np.flatnonzero((length > 0) & (length <= 256))
+    done = 0
+    while len(at):
+        left = np.minimum(length[at] - done, 8).astype(np.uint64)
+        chunk = eight[starts[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        key[at] = mix(key[at] ^ chunk) + np.uint64(0x9E3779B97F4A7C15)
+        done += 8
+        at = at[length[at] > done]
+    for k in np.flatnonzero(length > 256).tolist():
+        key[k] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed & 0x7FFFFFFF))
+    return key
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers (int32 or int64) as zstandard bytes, plane of bytes by plane of bytes."""
+    wide = len(values) > 0 and values.dtype != np.int32 and int(values.max()) >= 1 << 31
+    values = values.astype("<i8" if wide else "<i4")
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    size = packed[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8)
+    flat = np.ascontiguousarray(raw.reshape(size, -1).T).ravel()
+    return flat.view("<i8" if size == 8 else "<i4")
+
+
 def smallest_in_component(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst): the smallest node that it can reach.
 
