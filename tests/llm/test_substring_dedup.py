@@ -53,10 +53,31 @@ def test_empty_table(no_docs):
 
 
 def test_index_keeps_the_first_document_whatever_the_order_of_batches(spark):
-    rows = [(1, 1, 5), (1, 2, 6), (2, 1, 9)]
+    rows = [(1, 1, 7, 5), (1, 2, 7, 6), (2, 1, 7, 9), (2, 1, 8, 9)]
     index = FingerprintIndex(spark, fanout=1)
     for later in (0, 10, -3):
-        index.add(spark.createDataFrame([(a, s, d + later) for a, s, d in rows], "anchor long, segment long, doc_id long"))
+        index.add(spark.createDataFrame([(a, s, k, d + later) for a, s, k, d in rows], "anchor long, segment long, check long, doc_id long"))
     assert len(index.runs) == 1
-    assert {tuple(r) for r in index.rows().collect()} == {(1, 1, 2), (1, 2, 3), (2, 1, 6)}
-    assert index.rows().groupBy("anchor", "segment").agg(F.count("*").alias("n")).where("n > 1").count() == 0
+    assert {tuple(r) for r in index.rows().collect()} == {(1, 1, 7, 2), (1, 2, 7, 3), (2, 1, 7, 6), (2, 1, 8, 6)}
+    assert index.rows().groupBy("anchor", "segment", "check").agg(F.count("*").alias("n")).where("n > 1").count() == 0
+    again = FingerprintIndex(spark, index.root, fanout=3)
+    assert {tuple(r) for r in again.rows().collect()} == {tuple(r) for r in index.rows().collect()}
+    again.add(spark.createDataFrame([(1, 1, 7, 1), (5, 5, 5, 40)], "anchor long, segment long, check long, doc_id long"))
+    assert len(again.runs) == 2 and again.runs[1][0].count() == 2
+    assert {tuple(r) for r in FingerprintIndex(spark, index.root).rows().collect()} >= {(1, 1, 7, 1), (5, 5, 5, 40), (1, 2, 7, 3)}
+
+
+def test_patterns_and_wide_ids(spark):
+    """Words that a polynomial hash takes for equal, and ids as far apart as longs can be."""
+    pattern = [0]
+    while len(pattern) < 1024:
+        pattern += [1 - x for x in pattern]
+    words = [f"w{k}" for k in range(60)]
+    odd = ["".join(letters[x] for x in pattern) for letters in ("ab", "ba")]
+    rows = [(k + 1, " ".join([*words[:30], x, *words[30:]])) for k, x in enumerate(odd)]
+    rows += [(3, " ".join("ab"[x] for x in pattern)), (4, " ".join("ba"[x] for x in pattern))]
+    rows += [(-(2**62) - 5, " ".join(f"v{k}" for k in range(60))), (2**62 + 5, " ".join(f"v{k}" for k in range(60)))]
+    rows += [(2**63 - 1, " ".join(words)), (-(2**63), None), (9, "common " * 20 + " ".join(words[:50]) + " x y"), (10, "other " * 7 + " ".join(words[:50]) + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (1, 3):
+        assert Counter(map(tuple, substring_dedup(docs, batches=batches).collect())) == brute(rows)
