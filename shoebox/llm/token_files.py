@@ -31,7 +31,7 @@ from .bpe import VOCABULARY, vocabulary_path
 END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Cached pieces of a Python worker.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 2_000_000
 CLOSING, ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 CLOSING[list(b".,;:!?")] = True
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -66,7 +66,8 @@ class LibraryEncoder:
     """The tokenizers library behind a cache of pieces.
 
     A piece is a stretch between ASCII white space, or its closing punctuation, which is a pre-token of its own after an
-    ASCII letter or digit. Pieces are told apart by a 64-bit hash, over lower-case bytes if all of them are ASCII; their
+    ASCII letter or digit. Pieces are found by a 64-bit key, over lower-case bytes if all of them are ASCII, and every
+    find is compared byte by byte: with the piece in the cache, and with the other pieces of the key in the slice. Their
     ids lie in one array, so that a whole slice of texts is put together by a few numpy passes.
     """
 
@@ -78,27 +79,40 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.bits = bit_width(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.cache_pieces = cache_pieces
-        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.levels = [empty, empty]  # sorted keys, places and lengths: the old ones, and the newest
+        none = np.zeros(0, np.int64)
+        # Sorted keys, places and lengths of ids, starts and ends of bytes: the old ones, and the newest.
+        self.levels = [(none.view(np.uint64), none, none, none, none)] * 2
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint8), 0
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and lengths of the pieces' ids in the pool; -1 for an unknown piece."""
-        place, length = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
-        for known, places, lengths in self.levels:
+    def _find(self, keys: np.ndarray, form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and lengths of the pieces' ids in the pool, -1 for an unknown piece, and whether the key is taken."""
+        place, length, taken = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), dtype=bool)
+        for known, places, lengths, low, high in self.levels:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                place[hit], length[hit] = places[at[hit]], lengths[at[hit]]
-        return place, length
+                found = np.flatnonzero(known[at] == keys)
+                taken[found] = True
+                at = at[found]
+                hit = c.same_bytes(form, a[found], b[found], self.bytes[: self.bytes_used], low[at], high[at])
+                place[found[hit]], length[found[hit]] = places[at[hit]], lengths[at[hit]]
+        return place, length, taken
+
+    def _keep(self, keys: np.ndarray, places: np.ndarray, lengths: np.ndarray, form: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        size = np.cumsum(b - a)
+        low = self.bytes_used + size - (b - a)
+        new = form[np.repeat(a - (size - (b - a)), b - a) + np.arange(size[-1])]
+        if self.bytes_used + len(new) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.bytes_used], np.zeros(max(len(new), self.bytes_used // 2), np.uint8)])
+        self.bytes[self.bytes_used : self.bytes_used + len(new)] = new
+        self.bytes_used += len(new)
 
-    def _keep(self, keys: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> None:
         def merged(one, two):
             joined = [np.concatenate(x) for x in zip(one, two)]
             order = np.argsort(joined[0], kind="stable")
             return tuple(x[order] for x in joined)
 
-        self.levels[1] = merged(self.levels[1], (keys, places, lengths))
+        self.levels[1] = merged(self.levels[1], (keys, places, lengths, low, low + b - a))
         if len(self.levels[1][0]) > 1 << 16:
             self.levels = [merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
@@ -132,15 +146,24 @@ class LibraryEncoder:
         a, b = np.empty(len(starts) + int(split.sum()), np.int64), np.empty(len(starts) + int(split.sum()), np.int64)
         a[first], b[first] = starts, np.where(split, stem, ends)
         a[first[split] + 1], b[first[split] + 1] = stem[split], ends[split]
-        values = c.byte_values()
-        keys = c.span_hash(c.prefix_sums(values[LOWER[data]]), a, b)
+        # The form that tells pieces apart: lower case, but as it is where a byte is beyond ASCII or may open a special token.
         raw = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data >= 128) | (data == ord("<")), out=raw[1:])
         as_is = raw[b] > raw[a]
+        form = LOWER[data]
         if as_is.any():
-            keys[as_is] = c.mix(c.span_hash(c.prefix_sums(values[data]), a[as_is], b[as_is]) + np.uint64(1))
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[a[as_is]] += 1
+            edge[b[as_is]] -= 1
+            form = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, data, form)
+        keys = c.word_keys(form, a, b, 0)
         distinct, where, of = np.unique(keys, return_index=True, return_inverse=True)
-        place, length = self._find(distinct)
+        # Pieces that share a key with another one of the slice stand for themselves.
+        apart = np.flatnonzero(~c.same_bytes(form, a, b, form, a[where][of], b[where][of]))
+        of[apart] = len(distinct) + np.arange(len(apart))
+        distinct, where = np.append(distinct, keys[apart]), np.append(where, apart)
+        place, length, taken = self._find(distinct, form, a[where], b[where])
+        taken[len(distinct) - len(apart) :] = True
         lacking = np.flatnonzero(place < 0)
         before = self.used
         if len(lacking):
@@ -150,8 +173,10 @@ class LibraryEncoder:
         total = np.cumsum(n)
         ids = self.pool[np.repeat(place[of] - (total - n), n) + np.arange(total[-1])]
         if len(lacking):
-            if sum(len(x[0]) for x in self.levels) + len(lacking) <= self.cache_pieces:
-                self._keep(distinct[lacking], place[lacking], length[lacking])
+            kept = lacking[~taken[lacking]]
+            if sum(len(x[0]) for x in self.levels) + len(kept) <= self.cache_pieces:
+                if len(kept):
+                    self._keep(distinct[kept], place[kept], length[kept], form, a[where[kept]], b[where[kept]])
             else:
                 self.used = before  # no room: the new ones served this slice alone
         pieces_before = np.append(first, len(a))[words]
@@ -198,12 +223,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], name: str, block_ids: int) -> Ite
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shards: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all texts, each with the end id after it, in ascending doc_id order.
 
-    Null texts count as empty. Null doc_ids come first. Rows with one doc_id stand side by side, in the order of
-    their texts.
+    Null texts count as empty. Null doc_ids come first. Rows with one doc_id (or none) stand side by side, in the order
+    of a hash of their texts, by which many such rows are also dealt over several shards.
     """
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("tie")
     rows.mapInArrow(partial(_blocks, name=vocabulary, block_ids=block_ids), BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -242,7 +268,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """Random access: the ids of every row of one document; block statistics leave out the other blocks."""
-    blocks = spark.read.schema(BLOCKS).parquet(path).where((F.col("first_doc") <= doc_id) & F.array_contains("doc_ids", doc_id))
+    blocks = spark.read.schema(BLOCKS).parquet(path).where((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & F.array_contains("doc_ids", doc_id))
     found = []
     for row in blocks.orderBy("shard", "block").collect():
         for k, doc in enumerate(row.doc_ids):
