@@ -3,17 +3,23 @@
 A text becomes a sequence of lower-case tokens (runs of letters, digits and bytes beyond ASCII) in which numbers and
 units are placeholders; a second sequence has placeholders for names too, which are capitalised tokens inside a
 sentence; in a third one capitalised tokens that open a sentence may be names as well. A fourth sequence is the tokens
-themselves, for verbatim copies of items most of whose windows hold few words besides numbers and units. Windows of the benchmark's sequences are hashed and joined with those of the documents. Where windows of an
-item meet those of a document on one diagonal, the slots are compared: each value of the item must always stand for
-one value in the document, and the other way round. A document leaks an item if the agreeing windows cover at least
-half of the item's windows.
-
-The benchmark goes to the tasks in chunks of at most ``chunk_windows`` windows; a larger one takes more passes over
-the documents, never a larger table in a task.
+themselves, for verbatim copies of items most of whose windows hold few words besides numbers and units.
+
+The windows of items and documents meet in a hash join. A sieve of fixed size keeps windows that no item has out of
+the join; what passes is compared by a digest of its tokens. As a leak needs a share of an item's windows, document
+and item only meet through the item's rarest windows, as many as that share can't do without, so that a window that
+many items have in common joins nothing by itself. Of a pair found so, all windows are joined and verified:
+
+- The windows of a diagonal (a contiguous copy), and of all diagonals together (a copy with insertions), are looked at.
+- Every agreeing window votes for what its slots stand for. Pairs of values are taken in the order of their votes as
+  long as each value of the item stands for one value of the document, and the other way round.
+- A window counts if all of its slots are among the pairs taken. Windows with the same tokens count once. A document
+  leaks an item if at least ``coverage`` of the item's distinct windows count.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,15 +27,21 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
-WINDOW, COVERAGE, CHUNK_WINDOWS = 8, 0.5, 500_000
+WINDOW, COVERAGE = 8, 0.5
+#: Bits of the sieve: 16 for each window of the benchmark, within these powers of two (at most 16 MB).
+SIEVE_LEAST, SIEVE_MOST = 16, 27
+#: Number words and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent degree degrees watt watts volt volts joule joules meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters".split()
-MATCH = "array<struct<item_id:bigint,windows:bigint,coverage:double,exact:boolean,slots:int>>"
+KEYS = ["level", "width", "key", "check"]
+ITEMS = "item_id long, item string, level int, width int, key long, check long, place int, offsets array<int>, slots array<string>, windows int"
+FOUND = "text string, level int, width int, key long, check long, place int, slots array<string>"
+LEAKS = "text string, item_id long, n_windows long, coverage double, exact boolean, n_changed int"
 
 TOKEN = np.zeros(256, dtype=bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -49,7 +61,7 @@ def _known_words() -> tuple[np.ndarray, np.ndarray]:
     def hashes(words: list[str]) -> np.ndarray:
         raw = np.frombuffer(" ".join(words).encode(), np.uint8)
         starts, ends, _ = c.word_spans(raw, np.array([0, len(raw)]))
-        return np.sort(c.word_hashes(raw, starts, ends))
+        return np.sort(c.word_keys(raw, starts, ends, 0))
 
     return hashes(NUMBER_WORDS), hashes(UNITS)
 
@@ -103,7 +115,7 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> Sequences:
     words = np.searchsorted(starts, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(words))
     low = LOWER[data]
-    hashes = c.word_hashes(low, starts, ends)
+    hashes = c.word_keys(low, starts, ends, 0)
     numbers, units = _known_words()
     number = DIGITS[data[starts]] | _among(hashes, numbers) if len(starts) else np.zeros(0, dtype=bool)
     unit = _among(hashes, units) & ~number
@@ -126,8 +138,12 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> Sequences:
     return Sequences(low, starts, ends, levels)
 
 
-def window_hashes(template: np.ndarray, text: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows that lie in one text, and their places. Windows of mostly placeholders say nothing."""
+def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return c.mix(c.mix(one) + two)
+
+
+def window_keys(template: np.ndarray, text: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the windows that lie in one text, and their places. Windows of mostly placeholders say nothing."""
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -136,162 +152,186 @@ def window_hashes(template: np.ndarray, text: np.ndarray, width: int, level: int
         literal = np.zeros(len(template) + 1, np.int64)
         np.cumsum((template != NUM) & (template != UNIT) & (template != NAME), out=literal[1:])
         whole &= literal[width:] - literal[:n] >= (width + 1) // 2
+    keys, covered, block, size = None, 0, template, 1  # blocks of 1, 2, 4 ... tokens put together
+    while covered < width:
+        if width & size:
+            part = block[covered : covered + n]
+            keys = part if keys is None else _joined(keys, part)
+            covered += size
+        if covered < width:
+            block = _joined(block[:-size], block[size:])
+            size *= 2
     at = np.flatnonzero(whole)
-    sums = c.prefix_sums(template)
-    return c.span_hash(sums, at, at + width), at
-
-
-@dataclass
-class Items:
-    """Template windows of a chunk of the benchmark: sorted hashes with (level, item, place), and the items' tokens."""
-
-    widths: list[list[int]]  # [level]
-    hashes: np.ndarray
-    level: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    ids: list[int]
-    windows: dict[tuple[int, int], int]  # (level, item) -> number of windows
-    width_of: dict[tuple[int, int], int]
-    templates: list[list[np.ndarray]]  # [level][item]
-    values: list[list[list[bytes]]]
-    sieve: np.ndarray
-
-
-def _values(s: Sequences, level: int, which: np.ndarray) -> list[bytes]:
-    _, at, end, _ = s.levels[level]
-    raw = s.data.tobytes()
-    return [raw[s.starts[at[k]] : s.ends[end[k] - 1]] for k in which.tolist()]
-
-
-def read_items(rows: list[tuple[int, str]], window: int = WINDOW) -> Items:
+    return keys[at], at
+
+
+def _window(s: Sequences, raw: bytes, level: int, at: int, width: int) -> tuple[int, list[int], list[str]]:
+    """Digest of a window's tokens, and the offsets and values of its slots."""
+    template, first, end, _ = s.levels[level]
+    tokens, offsets, slots = [], [], []
+    for k in range(at, at + width):
+        kind = template[k]
+        value = raw[s.starts[first[k]] : s.ends[end[k] - 1]]
+        if level != RAW and kind in (NUM, UNIT, NAME):
+            tokens.append(b"\0" if kind == NUM else b"\1" if kind == UNIT else b"\2")
+            offsets.append(k - at)
+            slots.append(value.decode())
+        else:
+            tokens.append(value)
+    return int.from_bytes(hashlib.blake2b(b" ".join(tokens), digest_size=8).digest(), "little", signed=True), offsets, slots
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Items shorter than a window are one window of their own length; a sequence of fewer than three tokens has none."""
-    found: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-    windows, width_of, templates, values = {}, {}, [[] for _ in LEVELS], [[] for _ in LEVELS]
-    for k, (_, text) in enumerate(rows):
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        s = sequences(data, np.array([0, len(data)]))
-        tokens = [len(level[0]) for level in s.levels]
-        for number, (template, _, _, where) in enumerate(s.levels):
-            width = width_of[number, k] = min(window, tokens[number] if number in (CAPITALS, RAW) else min(tokens[PLAIN], tokens[INNER]))
-            hashes, at = window_hashes(template, where, width, number) if width >= 3 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            if number == RAW and width_of[PLAIN, k] >= 3 and 2 * windows[PLAIN, k] > tokens[PLAIN] - width_of[PLAIN, k]:
-                hashes, at = hashes[:0], at[:0]  # half of the windows are words enough
-            windows[number, k] = len(hashes)
-            templates[number].append(template)
-            values[number].append(_values(s, number, np.arange(len(template))))
-            found.append((hashes, number, k, at))
-    hashes = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-    levels = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else np.zeros(0, int)
-    item = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, int)
-    place = np.concatenate([f[3] for f in found]) if found else np.zeros(0, int)
-    order = np.argsort(hashes, kind="stable")
-    sieve = np.zeros(1 << 22, dtype=bool)
-    sieve[(hashes >> np.uint64(42)).astype(np.int64)] = True
-    widths = [sorted({w for (number, k), w in width_of.items() if number == level and windows[number, k]}) for level in LEVELS]
-    return Items(widths, hashes[order], levels[order], item[order], place[order], [r[0] for r in rows], windows, width_of, templates, values, sieve)
-
-
-def _consistent(one: list[bytes], two: list[bytes], slots: np.ndarray) -> bool:
-    """Whether the slot values map one to one; ``slots`` are the kinds of the placeholders."""
-    there: dict = {}
-    back: dict = {}
-    for a, b, kind in zip(one, two, slots.tolist()):
-        if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-            return False
-    return True
-
-
-def find_leaks(texts: pa.Array, items: Items, coverage: float = COVERAGE) -> list[list[dict]]:
-    """For each text the items that it leaks."""
-    out: list[list[dict]] = [[] for _ in range(len(texts))]
-    data, offsets = c.byte_view(texts)
-    if not len(items.hashes) or not len(data):
-        return out
-    s = sequences(data, offsets)
-    diagonals: dict[tuple[int, int, int, int], int] = Counter()
-    for level, (template, _, _, text) in enumerate(s.levels):
-        for width in items.widths[level]:
-            hashes, at = window_hashes(template, text, width, level)
-            near = np.flatnonzero(items.sieve[(hashes >> np.uint64(42)).astype(np.int64)])
-            hashes, at = hashes[near], at[near]
-            low, high = np.searchsorted(items.hashes, hashes, "left"), np.searchsorted(items.hashes, hashes, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                for j in range(low[k], high[k]):
-                    if items.level[j] == level and items.width_of[level, int(items.item[j])] == width:
-                        diagonals[int(text[at[k]]), level, int(items.item[j]), int(at[k] - items.place[j])] += 1
-    best: dict[tuple[int, int], dict] = {}
-    by_pair: dict[tuple[int, int, int], int] = defaultdict(int)
-    for (doc, level, item, diagonal), n in diagonals.items():
-        template, _, _, text = s.levels[level]
-        other = items.templates[level][item]
-        k = np.arange(max(0, -diagonal), min(len(other), len(template) - diagonal))
-        same = k[(text[k + diagonal] == doc) & (template[k + diagonal] == other[k])]
-        slots = same[(other[same] == NUM) | (other[same] == UNIT) | (other[same] == NAME)]
-        mine, theirs = [items.values[level][item][i] for i in slots.tolist()], _values(s, level, slots + diagonal)
-        if not _consistent(mine, theirs, other[slots]):
-            continue
-        exact = mine == theirs
-        by_pair[doc, level, item] += n
-        share = min(1.0, by_pair[doc, level, item] / items.windows[level, item])
-        old = best.get((doc, item))
-        changed = sum(a != b for a, b in zip(mine, theirs))
-        if old is None or share > old["coverage"] or share == old["coverage"] and exact and not old["exact"] and level != RAW:
-            best[doc, item] = {"item_id": items.ids[item], "windows": by_pair[doc, level, item], "coverage": share, "exact": exact, "slots": changed}
-    for (doc, _), found in sorted(best.items()):
-        if found["coverage"] >= coverage:
-            out[doc].append(found)
-    return out
-
-
-@lru_cache(maxsize=2)
-def _items(rows: tuple[tuple[int, str], ...], window: int) -> Items:
-    return read_items(list(rows), window)
-
-
-c.hold("leaks", _items.cache_clear)
-
-
-def _matched(batches: Iterator[pa.RecordBatch], names: list[str], rows: tuple, window: int, coverage: float) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("windows", pa.int64()), ("coverage", pa.float64()), ("exact", pa.bool_()), ("slots", pa.int32())]))
-    items = _items(rows, window)
-    for batch in c.text_slices(batches, column="__text", owner="leaks"):
-        found = pa.array(find_leaks(batch.column("__text"), items, coverage), kind)
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], names=[*names, "__leaks"])
-
-
-def benchmark_chunks(benchmark: DataFrame, chunk_windows: int = CHUNK_WINDOWS) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The benchmark's items in chunks of bounded size; an upper bound of their windows is measured first."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // chunk_windows))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        yield tuple(sorted({(r.item_id, r.text) for r in rows}))
-
-
-def with_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
-    """All columns of ``docs`` with ``__leaks`` in addition: the items that each row leaks. No shuffle."""
-    names, out = docs.columns, docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for number, rows in enumerate(benchmark_chunks(benchmark, chunk_windows)):
-        keep = [*names, "__text", *(["__before"] if number else [])]
-        if number:
-            out = out.withColumnRenamed("__leaks", "__before")
-        schema = plain + ", __text string" + f", __before {MATCH}" * bool(number) + f", __leaks {MATCH}"
-        out = out.mapInArrow(partial(_matched, names=keep, rows=rows, window=window, coverage=coverage), schema)
-        if number:
-            out = out.withColumn("__leaks", F.concat("__before", "__leaks")).drop("__before")
-    return out.drop("__text")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
+    names = [f.split()[0] for f in ITEMS.split(", ")]
+    for batch in batches:
+        rows = []
+        for item_id, item, text in zip(*(batch.column(n).to_pylist() for n in ("item_id", "item", "text"))):
+            raw = text.encode()
+            s = sequences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            raw, tokens, plain = s.data.tobytes(), [len(x[0]) for x in s.levels], 0
+            for level, (template, _, _, where) in enumerate(s.levels):
+                width = min(window, tokens[level] if level in (CAPITALS, RAW) else min(tokens[PLAIN], tokens[INNER]))
+                if width < 3 or level == RAW and min(window, tokens[PLAIN], tokens[INNER]) >= 3 and 2 * plain > tokens[PLAIN] - min(window, tokens[PLAIN], tokens[INNER]):
+                    continue  # half of the windows are words enough
+                keys, at = window_keys(template, where, width, level)
+                plain = len(keys) if level == PLAIN else plain
+                own = [_window(s, raw, level, p, width) for p in at.tolist()]
+                distinct = len({check for check, _, _ in own})
+                rows += [(item_id, item, level, width, key, check, p, offsets, slots, distinct) for key, p, (check, offsets, slots) in zip(keys.view(np.int64).tolist(), at.tolist(), own)]
+        if rows:
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
+
+
+def _bits(batches: Iterator[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
+    sieve = np.zeros(1 << power, dtype=bool)
+    for batch in batches:
+        sieve[(batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(sieve, bitorder="little").tobytes()], pa.binary())})
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], sieve, power: int, widths: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """The windows of the texts that pass the sieve."""
+    held = np.frombuffer(sieve.value, np.uint8)
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+    for batch in c.text_slices(batches, column="whole"):
+        data, offsets = c.byte_view(batch.column("whole"))
+        s = sequences(data, offsets)
+        raw, rows = s.data.tobytes(), []
+        ids = batch.column("text").to_pylist()
+        for level, width in widths:
+            template, _, _, text = s.levels[level]
+            keys, at = window_keys(template, text, width, level)
+            place = (keys >> np.uint64(64 - power)).astype(np.int64)
+            near = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            begin = np.searchsorted(text, np.arange(len(ids)))
+            for key, p in zip(keys[near].view(np.int64).tolist(), at[near].tolist()):
+                check, _, slots = _window(s, raw, level, p, width)
+                rows.append((ids[text[p]], level, width, key, check, p - int(begin[text[p]]), slots))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
+
+
+def agreeing(windows: list[tuple[int, int, list[int], list[str], list[str]]]) -> tuple[set[int], bool, int]:
+    """Of windows (check, place in the item, slot offsets, the item's values, the document's) those that agree: their
+    checks, whether no slot differs, and how many of the item's slots do."""
+    votes = Counter()
+    bearers = defaultdict(set)
+    for check, place, _, mine, theirs in windows:
+        for pair in zip(mine, theirs):
+            bearers[pair].add((check, place))
+    votes = sorted(bearers, key=lambda pair: (-len(bearers[pair]), pair[0] != pair[1], pair))
+    there, back = {}, {}
+    for a, b in votes:
+        if a not in there and b not in back:
+            there[a], back[b] = b, a
+    counted, changed, exact = set(), set(), True
+    for check, place, offsets, mine, theirs in windows:
+        if all(there.get(a) == b for a, b in zip(mine, theirs)):
+            counted.add(check)
+            changed |= {place + k for k, a, b in zip(offsets, mine, theirs) if a != b}
+            exact &= mine == theirs
+    return counted, exact, len(changed)
+
+
+def leak_of(found: list[dict], coverage: float) -> tuple | None:
+    """(n_windows, coverage, exact, n_changed) of an item's windows in a document, or None if it doesn't leak."""
+    best = None
+    for level in sorted({f["level"] for f in found}):
+        own = [f for f in found if f["level"] == level]
+        total = own[0]["windows"]
+        by_diagonal = defaultdict(list)
+        for f in own:
+            by_diagonal[f["at"] - f["place"]].append((f["check"], f["place"], f["offsets"], f["mine"], f["theirs"]))
+        every = [w for windows in by_diagonal.values() for w in windows]
+        for windows in [every] if len(by_diagonal) == 1 else [every, *by_diagonal.values()]:
+            if len({w[0] for w in windows}) < coverage * total:
+                continue
+            counted, exact, changed = agreeing(sorted(windows))
+            share = len(counted) / total
+            if share >= coverage and (best is None or (share, exact and level != RAW) > (best[1], best[2])):
+                best = len(counted), share, exact, changed
+    return best
+
+
+def _verified(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32())
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            leak = leak_of(batch.column("found")[i].as_py(), coverage)
+            if leak:
+                rows.append((batch.column("text")[i].as_py(), batch.column("item_id")[i].as_py(), *leak))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=[f.split()[0] for f in LEAKS.split(", ")])
+
+
+def text_key() -> Column:
+    return F.sha2(F.col("text").cast("binary"), 256)
+
+
+def leaks_by_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, sieve_most: int = SIEVE_MOST) -> DataFrame:
+    """(text, item_id, n_windows, coverage, exact, n_changed) for every distinct text (by its SHA-256) that leaks."""
+    spark, root = docs.sparkSession, c.shared_dir(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_key().alias("item"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = c.written(items.mapInArrow(partial(_item_windows, window=window), ITEMS), f"{root}/items")
+    widths = sorted((r.level, r.width) for r in items.select("level", "width").distinct().collect())  # at most four times six
+    if not widths:
+        return spark.createDataFrame([], LEAKS)
+    power = max(SIEVE_LEAST, min(sieve_most, (16 * items.count()).bit_length()))
+    parts = items.select("key").coalesce(16).mapInArrow(partial(_bits, power=power), "bits binary").collect()
+    sieve = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(p.bits, np.uint8) for p in parts]).tobytes())
+    texts = docs.select(text_key().alias("text"), F.col("text").alias("whole")).where("whole <> ''")
+    found = texts.mapInArrow(partial(_candidates, sieve=sieve, power=power, widths=widths), FOUND)
+    found = c.written(found.dropDuplicates(["text", "level", "width", "place"]), f"{root}/found")
+    # The rarest windows of each item and sequence, of which at least one agrees in every leak.
+    often = found.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    own = items.groupBy("item_id", "item", *KEYS).agg(F.first("windows").alias("windows")).join(often, KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("item_id", "item", "level").orderBy("n", "key", "check"))  # one item's windows
+    rarest = own.withColumn("rank", rank).where((F.col("n") > 0) & (F.col("rank") <= F.col("windows") - F.ceil(F.lit(coverage) * F.col("windows")) + 1))
+    pairs = found.select("text", *KEYS).join(rarest.select("item_id", "item", *KEYS), KEYS).select("text", "item_id", "item", "level").distinct()
+    both = pairs.join(items, ["item_id", "item", "level"]).withColumnRenamed("slots", "mine")
+    both = both.join(found.withColumnsRenamed({"place": "at", "slots": "theirs"}), ["text", *KEYS])
+    one = F.struct("level", "check", "windows", "place", "offsets", "mine", "at", "theirs")
+    both = both.groupBy("text", "item_id", "item").agg(F.collect_list(one).alias("found"))  # one item's windows in one text
+    return c.written(both.mapInArrow(partial(_verified, coverage=coverage), LEAKS), f"{root}/leaks")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, sieve_most: int = SIEVE_MOST) -> DataFrame:
     """A row per leak: doc_id, item_id, n_windows, coverage, exact (no slot differs), n_changed (slots that differ).
 
     Null and empty texts leak nothing; items without text or id count as none. Rows that repeat a doc_id, or items
     that repeat an item_id with other texts, give a row each. An empty benchmark gives no rows. Other columns are
     ignored.
     """
-    rows = with_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, coverage, chunk_windows)
-    leak = F.explode("__leaks").alias("leak")
-    return rows.select("doc_id", leak).selectExpr("doc_id", "leak.item_id", "leak.windows as n_windows", "leak.coverage", "leak.exact", "leak.slots as n_changed")
+    leaks = leaks_by_text(docs, benchmark, window, coverage, sieve_most)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text")).join(leaks, "text").drop("text")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts leak nothing. Rows without text stay."""
+    own = next(name for k in range(len(docs.columns) + 1) if (name := f"text_key_{k}") not in {n.lower() for n in docs.columns})
+    leaks = leaks_by_text(docs, benchmark, window, coverage).select(F.col("text").alias(own)).distinct()
+    return docs.withColumn(own, text_key()).join(leaks, own, "left_anti").select([F.col(f"`{n}`") for n in docs.columns])
