@@ -161,12 +161,12 @@ def test_names_that_open_sentences(spark):
     swapped = item[1].replace("Betty", "Carl").replace("Tom", "Susan").replace("Anna", "Peter")
     texts = [
         swapped,
-        swapped.replace("as many as Susan", "as many as Carl"),  # Tom stands for two now
+        swapped.replace("as many as Susan", "as many as Carl"),  # Tom stands for two now: windows with the other one don't count
         "First:\n" + accents[1].replace("Élodie", "Zoé").replace("Łukasz", "Дмитрий"),
         "Betty was here. Tom was not. How many of them do you know?",
     ]
     got = leaks(spark, texts, [item, accents])
-    assert sorted(got) == [(0, 1), (2, 2)]
+    assert sorted(got) == [(0, 1), (1, 1), (2, 2)] and got[1, 1].coverage < 0.7
     assert got[0, 1].coverage == 1.0 and not got[0, 1].exact and got[0, 1].n_changed == 4
 
 
