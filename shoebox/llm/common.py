@@ -66,6 +66,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with a number after it where a column has that name already, in whatever case."""
+    taken = {n.lower() for n in columns}
+    return next(n for n in (base, *(f"{base}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def crc_remainder(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo; a null key counts as the text ''."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -332,6 +332,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts leak nothing. Rows without text stay."""
-    own = next(name for k in range(len(docs.columns) + 1) if (name := f"text_key_{k}") not in {n.lower() for n in docs.columns})
+    own = c.free_name(docs.columns, "text_key")
     leaks = leaks_by_text(docs, benchmark, window, coverage).select(F.col("text").alias(own)).distinct()
     return docs.withColumn(own, text_key()).join(leaks, own, "left_anti").select([F.col(f"`{n}`") for n in docs.columns])

@@ -460,19 +460,20 @@ def katz_scores(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, bucket_rows:
     c.discard(spark)
     sums = table.agg(*(F.sum(F.col(name)[k]).alias(f"{name}_{k}") for name in ("of_3", "of_2") for k in range(DISCOUNTED + 1))).first()
     of_3, of_2 = ({k + 1: sums[f"{name}_{k}"] or 0 for k in range(DISCOUNTED + 1)} for name in ("of_3", "of_2"))
-    rows = table.select("bucket", "slices", "requests")
     if len(one.step_counts) and one.step_counts[0] > hot:
         mine = table.select(F.col("bucket").alias("of"), F.inline("hot"))
         order_2 = c.written(mine.groupBy("v", "w").agg(F.sum("c").alias("c")), f"{root}/order=2")
         for r in order_2.where(F.col("c").between(1, DISCOUNTED + 1)).groupBy("c").agg(F.count("*").alias("n")).collect():
             of_2[r.c] += r.n
-        discounts = dict(one=one, d2=good_turing(of_2), d3=good_turing(of_3))
+    discounts = dict(one=one, d2=good_turing(of_2), d3=good_turing(of_3))
+    own, dealt = table.select("bucket", "slices", "requests"), F.size("hot") > 0
+    answers = own.where(~dealt).mapInArrow(partial(_answers, **discounts), ANSWERS)
+    if len(one.step_counts) and one.step_counts[0] > hot:
         with_1 = order_2.mapInArrow(partial(_first_order, one=one, d2=discounts["d2"]), "v long, w long, c long, kept double, seen double")
         by_v = with_1.groupBy("v").agg(F.sum("c").alias("total"), F.sum("kept").alias("kept"), F.sum("seen").alias("seen"))
-        own = mine.select("of", "v", "w").join(order_2, ["v", "w"]).join(by_v, "v")
-        answers = rows.groupBy("bucket").cogroup(own.groupBy("of")).applyInArrow(lambda left, right: _answers_dealt(left, right, **discounts), ANSWERS)
-    else:
-        answers = rows.mapInArrow(partial(_answers, one=one, d2=good_turing(of_2), d3=good_turing(of_3)), ANSWERS)
+        with_sums = mine.select("of", "v", "w").join(order_2, ["v", "w"]).join(by_v, "v")
+        joined = own.where(dealt).groupBy("bucket").cogroup(with_sums.groupBy("of"))
+        answers = answers.unionByName(joined.applyInArrow(lambda left, right: _answers_dealt(left, right, **discounts), ANSWERS))
     answers = c.written(answers, f"{root}/answers")
     c.discard(spark, f"{root}/order=3", f"{root}/order=2")
     found = whole.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda left, right: _scores(left, right, buckets=buckets, **sizes), ROWS)
