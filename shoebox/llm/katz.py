@@ -168,21 +168,20 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_tokens: int) ->
         yield flush()
 
 
-def _numbered(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A slice with the numbers of its words in the place of their keys."""
-    if not left.num_rows:
-        return pa.table({n: [] for n in ("slice", "doc_ids", "train", "ends", "words", "tokens")}, NUMBERED_ARROW)
-    key = right.column("key").to_numpy().view(np.uint64)
-    ids = right.column("id").to_numpy()[np.argsort(key)]
-    words, place = np.unique(ids, return_inverse=True)
-    tokens = place[c.unpack_numbers(left.column("tokens")[0].as_py())]
-    same = {n: left.column(n) for n in ("slice", "doc_ids", "train", "ends")}
-    return pa.table(same | {"words": pa.array([words], pa.list_(pa.int64())), "tokens": pa.array([c.pack_numbers(tokens.astype(np.int32))], pa.binary())}).cast(NUMBERED_ARROW)
-
-
-NUMBERED_ARROW = pa.schema(
-    [("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("tokens", pa.binary())]
-)
+def _in_key_order(rows: pa.Table) -> pa.Table:
+    """The numbers of a slice's words, in the order of their keys."""
+    order = rows.column("key").to_numpy().view(np.uint64).argsort()
+    return pa.table({"of": rows.column("of")[:1].combine_chunks(), "ids": pa.array([rows.column("id").to_numpy()[order]], pa.list_(pa.int64()))})
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with the numbers of their words in the place of the keys."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, place = np.unique(batch.column("ids")[i].values.to_numpy(), return_inverse=True)
+            tokens = place[c.unpack_numbers(batch.column("tokens")[i].as_py())]
+            same = {n: batch.column(n)[i : i + 1] for n in ("slice", "doc_ids", "train", "ends")}
+            yield pa.RecordBatch.from_pydict(same | {"words": pa.array([words], pa.list_(pa.int64())), "tokens": pa.array([c.pack_numbers(tokens.astype(np.int32))], pa.binary())})
 
 
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -439,6 +438,7 @@ def katz_scores(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, bucket_rows:
     one = unigrams([(r.c, r.n) for r in words.where("c > 0").groupBy("c").agg(F.count("*").alias("n")).collect()])
     # Numbers by falling count: sorted ranges, and a table of one row per range.
     ranges = words.where("c > 0").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("c"), "key").sortWithinPartitions(F.desc("c"), "key")
+    c.discard(spark)
     ranges = c.written(ranges.select("key", F.monotonically_increasing_id().alias("at")), f"{root}/numbers")
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     before, offsets = 0, {}
@@ -447,11 +447,13 @@ def katz_scores(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, bucket_rows:
     start = spark.createDataFrame([*offsets.items()], "part long, start long")
     numbers = ranges.join(F.broadcast(start), part == F.col("part")).select("key", (F.col("start") + inside).alias("id"))
     pairs = slices.select(F.col("slice").alias("of"), F.explode("keys").alias("key")).join(numbers, "key", "left").select("of", "key", F.coalesce("id", F.lit(one.types)).alias("id"))
-    whole = slices.select("slice", "doc_ids", "train", "ends", "tokens").groupBy("slice").cogroup(pairs.groupBy("of")).applyInArrow(_numbered, NUMBERED)
+    ids = c.written(pairs.groupBy("of").applyInArrow(_in_key_order, "of long, ids array<long>"), f"{root}/ids")
+    del pairs, numbers
+    c.discard(spark, f"{root}/numbers")
     n = slices.agg(F.sum("n")).first()[0] or 0
-    whole = c.written(whole, f"{root}/texts")
-    del pairs
-    c.discard(spark, *(f"{root}/slices={k}" for k in range(8)), f"{root}/numbers")
+    whole = slices.select("slice", "doc_ids", "train", "ends", "tokens").join(ids, F.col("slice") == F.col("of"))
+    whole = c.written(whole.mapInArrow(_numbered, NUMBERED), f"{root}/texts")
+    c.discard(spark, *(f"{root}/slices={k}" for k in range(8)), f"{root}/ids")
     buckets = max(1, -(-n // bucket_rows))
     sizes = dict(one=one, hot=hot)
     asked = whole.mapInArrow(partial(_requests, buckets=buckets, **sizes), REQUESTS).groupBy("bucket").applyInArrow(lambda rows: _bucket(rows, **sizes), BUCKETS)
