@@ -16,14 +16,14 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 from .quality import labelled_sample
 
-#: Bounds of the labelled sample that the model is fitted on, by label.
-TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
+#: Bounds of the labelled sample that the model is fitted on, in rows by label, and in bytes of text for each label.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 2_000, 4_000, 24_000_000
 GRAM, LONGEST, RATIO = 5, 12, 20.0
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4_096, 16_384, 9
 CACHE_WORDS = 500_000
@@ -165,12 +165,17 @@ def fit_texts(texts: list[str], toxic: list[bool]) -> Toxicity:
     return Toxicity(toxic_part, ordinary_part, tuple(mean), tuple(scale), tuple(w), offset)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Toxicity:
-    """Fits on at most ``toxic_rows`` and ``ordinary_rows`` labelled rows whose crc32(doc_id) modulo 5 isn't 0."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Toxicity:
+    """Fits on at most ``toxic_rows`` and ``ordinary_rows`` labelled rows whose crc32(doc_id) modulo 5 isn't 0, whole
+    texts in the order of a hash of doc_id as long as they have at most ``sample_bytes`` together for each label. Of rows
+    with one doc_id the least text counts."""
     some = [labelled_sample(labels.where(F.col("toxic") == k), "toxic", 5, 0, n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
     # A document with both labels counts as the least one, as in labelled_sample. The sample has a fixed bound.
     sample = F.broadcast(some[0].unionByName(some[1]).groupBy("doc_id").agg(F.min("label").alias("label")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most the sample's rows
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
     got = rows.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit_texts(got.column("text").to_pylist(), [k == 1 for k in got.column("label").to_pylist()])
 

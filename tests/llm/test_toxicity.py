@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from shoebox.llm import common as c
-from shoebox.llm.toxicity import fit_texts, features, Margins, toxicity_scores
+from shoebox.llm.toxicity import Margins, features, fit_texts, fit_toxicity, toxicity_scores
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,11 @@ def test_small_fits():
     known = Margins(model.toxic, model.ordinary)
     assert model.score(np.array([features([b"so", b"blithering,"], known)]))[0] > 0.5
     assert model.score(np.array([features([b"plain", b"words"], known)]))[0] < 0.5
+
+
+def test_the_sample_has_a_bound_in_bytes(spark):
+    rows = [(k, f"some plain words number {k}" * 10) for k in range(40)] + [(100 + k, "you idiot" * 10) for k in range(40)]
+    docs = spark.createDataFrame(rows + [(0, "a" * 500)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in rows], "doc_id long, toxic int")
+    assert fit_toxicity(docs, labels, sample_bytes=10).weights == (0.0,) * 7
+    assert fit_toxicity(docs, labels, sample_bytes=5000).weights != (0.0,) * 7
