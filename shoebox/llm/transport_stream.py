@@ -4,6 +4,9 @@ A stream is a sequence of 188-byte packets of ISO/IEC 13818-1: a program associa
 then the elementary stream in PES packets. Each PES packet is an access unit of a fixed number of samples with a
 presentation time stamp; its first transport packet carries the clock reference and the random-access flag. Eight-bit
 samples at 8000 Hz are stored as private data, so that any bytes are kept as they are.
+
+The media table holds the streams with their time stamps and random-access points as columns beside them, so that a
+time is looked up without parsing, and parsing starts at its access point.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -99,104 +102,179 @@ def mux(payload: bytes, unit: int = UNIT_BYTES) -> bytes:
 
 @dataclass
 class Stream:
-    """What a parse finds of one program's first elementary stream."""
+    """What a parse finds of the first elementary stream of the first program."""
 
     packets: int = 0
     stream_pid: int = -1
     stream_type: int = -1
-    gaps: int = 0
-    bad: int = 0
+    streams: list[tuple[int, int]] = field(default_factory=list)  # (type, PID) of all programs
+    gaps: int = 0  # places where the continuity counter doesn't go on
+    duplicates: int = 0  # packets sent twice, which the standard allows; left out
+    bad: int = 0  # packets and units that break the format
     payload: bytes = b""
     units: int = 0
     pts: list[int] = field(default_factory=list)
     access_points: list[tuple[int, int]] = field(default_factory=list)  # (time stamp, packet number)
 
 
-def _table(packet: bytes) -> bytes:
-    """The body of the section that starts in a packet; empty if its checksum is wrong."""
-    at = 5 + packet[4] if packet[3] >> 4 & 3 == 1 else 6 + packet[4] + packet[5 + packet[4]]
-    size = int.from_bytes(packet[at + 1 : at + 3], "big") & 0x0FFF
-    section = packet[at : at + 3 + size]
-    return section[8:-4] if len(section) == 3 + size and size >= 9 and section_crc(section) == 0 else b""
+#: PES packets without optional header: program map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory.
+PLAIN_STREAMS, PADDING = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}, 0xBE
+
+
+def _bodies(rows: np.ndarray, begin: np.ndarray) -> list[tuple[bool, bytes]]:
+    return [(bool(r[1] & 0x40), r[b:].tobytes()) for r, b in zip(rows, begin.tolist())]
+
+
+def sections(packets: list[tuple[bool, bytes]]) -> list[bytes]:
+    """The whole sections with right checksums of one PID, whichever packets they are spread over; from (whether a
+    section starts here, payload) of its packets."""
+    found, held = [], b""
+
+    def drain(data: bytes) -> bytes:
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
+            if len(data) < size:
+                return data
+            if size >= 12 and section_crc(data[:size]) == 0:
+                found.append(data[:size])
+            data = data[size:]
+        return data if len(data) < 3 and data[:1] != b"\xff" else b""
+
+    for starts, body in packets:
+        if starts and body:
+            pointer = body[0]
+            if held:
+                drain(held + body[1 : 1 + pointer])
+            held = drain(body[1 + pointer :])
+        elif held:
+            held = drain(held + body)
+    return found
+
+
+def _programs(section: bytes) -> list[int]:
+    body = section[8:-4]
+    return [int.from_bytes(body[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(body) - 3, 4) if body[i : i + 2] != b"\0\0"]
 
 
-def demux(media: bytes) -> Stream:
+def _streams(section: bytes) -> list[tuple[int, int]]:
+    body, found = section[8:-4], []
+    at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
+    while at + 5 <= len(body):
+        found.append((body[at], int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF))
+        at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
+    return found
+
+
+def demux(media: bytes, start: int = 0, pid: int | None = None) -> Stream:
     """Parses the tables, checks continuity counters, reassembles PES packets and lists time stamps and access points.
 
-    A trailing part of a packet and packets without sync byte count as bad and are left out.
+    Any bytes are taken. A trailing part of a packet counts as bad; so do packets without sync byte, with the error
+    flag, without payload or adaptation field, or with a field longer than the packet, and all these are left out.
+    Units that don't begin with a start code, or whose header doesn't fit, count as bad and are left out; units that
+    are shorter or longer than they say count as bad, and what they have up to their length is kept. Of tables that
+    are sent again the first whole ones count. With ``start`` and ``pid`` parsing begins at that packet, without tables.
     """
     found = Stream()
     n = len(media) // PACKET
-    rows = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
-    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
+    rows = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)[start:]
+    control = rows[:, 3] >> 4 & 3
+    field_size = np.where(control & 2 > 0, rows[:, 4].astype(np.int32) + 1, 0)
+    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0) & (control > 0) & (field_size <= BODY)
     found.packets, found.bad = n, int((~good).sum()) + (len(media) % PACKET > 0)
-    pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    starts = rows[:, 1] & 0x40 > 0
-    for k in np.flatnonzero(good & starts & (pid == PAT_PID))[:1].tolist():
-        pat = _table(rows[k].tobytes())
-        programs = [int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(pat) - 3, 4) if pat[i : i + 2] != b"\0\0"]
-        for j in np.flatnonzero(good & starts & np.isin(pid, programs))[:1].tolist():
-            pmt = _table(rows[j].tobytes())
-            skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
-            if len(pmt) >= skip + 5:
-                found.stream_type, found.stream_pid = pmt[skip], int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
-    at = np.flatnonzero(good & (pid == found.stream_pid))
+    pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+    begin = np.where(control & 1 > 0, 4 + field_size, PACKET)
+
+    def of(p: int) -> list[bytes]:
+        at = np.flatnonzero(good & (pids == p))
+        return sections(_bodies(rows[at], begin[at])) if len(at) else []
+
+    if pid is None:
+        programs = dict.fromkeys(p for s in of(PAT_PID) if s[0] == 0 and s[5] & 1 for p in _programs(s))
+        for p in programs:
+            table = next((s for s in of(p) if s[0] == 2 and s[5] & 1), None)
+            found.streams += _streams(table) if table else []
+        if found.streams:
+            found.stream_type, found.stream_pid = found.streams[0]
+    else:
+        found.stream_pid = pid
+    at = np.flatnonzero(good & (pids == found.stream_pid))
     if found.stream_pid < 0 or not len(at):
         return found
-    own = rows[at]
-    control = own[:, 3] >> 4 & 3
-    has_payload = control & 1 > 0
+    # A packet with payload may come twice, the clock reference apart.
+    again = np.zeros(len(at), dtype=bool)
+    maybe = np.flatnonzero((rows[at[1:], 3] == rows[at[:-1], 3]) & (control[at[1:]] & 1 > 0)) + 1
+    again[maybe] = [bool((rows[at[k], begin[at[k]] :] == rows[at[k - 1], begin[at[k]] :]).all()) and begin[at[k]] == begin[at[k - 1]] for k in maybe.tolist()]
+    found.duplicates = int(again.sum())
+    at = at[~again]
+    own, begin = rows[at], begin[at]
+    flags = np.where(field_size[at] > 1, own[:, 5], 0)
     count = (own[:, 3] & 15).astype(np.int16)
-    found.gaps = int(((count[1:] - count[:-1] & 15) != has_payload[1:]).sum())
-    size = np.where(control & 2 > 0, own[:, 4].astype(np.int32) + 1, 0)
-    flags = np.where((control & 2 > 0) & (own[:, 4] > 0), own[:, 5], 0)
-    begin = np.minimum(4 + size, PACKET)
-    begin[~has_payload] = PACKET
-    unit_start = starts[at]
-    keep = np.arange(PACKET) >= begin[:, None]
-    body = own[keep].tobytes()
+    steps = (count[1:] - count[:-1] & 15) != (control[at[1:]] & 1)
+    found.gaps = int((steps & (flags[1:] & 0x80 == 0)).sum())
+    body = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
-    first = np.flatnonzero(unit_start)
+    first = np.flatnonzero(own[:, 1] & 0x40 > 0)
+    if len(first) == 0 or first[0] > 0 and ends[first[0] - 1] > 0:
+        found.bad += 1  # what comes before the first unit
     parts = []
     for k, i in enumerate(first.tolist()):
         lo = int(ends[i - 1]) if i else 0
         hi = int(ends[first[k + 1] - 1]) if k + 1 < len(first) else int(ends[-1])
         pes = body[lo:hi]
-        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
+        plain = len(pes) >= 6 and pes[3] in PLAIN_STREAMS
+        skip = 6 if plain else 9 + pes[8] if len(pes) >= 9 else len(pes) + 1
+        length = int.from_bytes(pes[4:6], "big")
+        if pes[:3] != b"\x00\x00\x01" or skip > len(pes) or length and skip > 6 + length:
             found.bad += 1
             continue
-        length = int.from_bytes(pes[4:6], "big")
+        found.bad += length > 0 and len(pes) != 6 + length
         stamp = -1
-        if pes[7] & 0x80 and len(pes) >= 14:
+        if not plain and pes[7] & 0x80 and pes[8] >= 5:
             stamp = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | pes[11] >> 1 << 15 | pes[12] << 7 | pes[13] >> 1
             found.pts.append(stamp)
         if flags[i] & 0x40:
-            found.access_points.append((stamp, int(at[i])))
-        parts.append(pes[9 + pes[8] : 6 + length if length else len(pes)])
+            found.access_points.append((stamp, start + int(at[i])))
+        if pes[3] != PADDING:
+            parts.append(pes[skip : 6 + length if length else len(pes)])
         found.units += 1
     found.payload = b"".join(parts)
     return found
 
 
-def seek(media: bytes, stamp: int) -> int:
-    """The packet number of the last access point at or before a time stamp; the first one if there is none before."""
-    points = demux(media).access_points
-    return max((p for p in points if p[0] <= stamp), default=points[0] if points else (0, 0))[1]
+def seek(points: list[tuple[int, int]], stamp: int) -> int:
+    """The packet number of the last of the access points (time stamp, packet) at or before a time stamp; the first one
+    if there is none before, 0 without points."""
+    return max((p for p in points if p[0] <= stamp), default=min(points, default=(0, 0)))[1]
+
+
+def seek_packet(stamp: Column, points: str = "points") -> Column:
+    """seek() over the stored column of access points; streams need not be read for it."""
+    before = F.array_sort(F.filter(F.col(points), lambda p: p["pts"] <= stamp))
+    return F.coalesce(F.try_element_at(before, F.lit(-1))["packet"], F.try_element_at(F.array_sort(F.col(points)), F.lit(1))["packet"], F.lit(0))
 
 
 def padded(text: bytes, multiple: int = 64) -> bytes:
     return text + b"\0" * (-len(text) % multiple if text else multiple)
 
 
+MEDIA = "doc_id long, n_bytes long, media binary, stream_pid int, pts array<long>, points array<struct<pts:bigint,packet:int>>"
+
+
 def _muxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int32())])))
     for batch in c.text_slices(batches):
         raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "media": pa.array([mux(padded(t)) for t in raw], pa.binary())})
+        media = [mux(padded(t)) for t in raw]
+        parsed = [demux(m) for m in media]
+        columns = ([*map(len, raw)], media, [s.stream_pid for s in parsed], [s.pts for s in parsed], [[{"pts": t, "packet": p} for t, p in s.access_points] for s in parsed])
+        names = ("n_bytes", "media", "stream_pid", "pts", "points")
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {n: pa.array(v, k) for n, v, k in zip(names, columns, kinds)})
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the media column of every row of ``docs`` (doc_id, text); null texts count as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_muxed, "doc_id long, n_bytes long, media binary")
+    """doc_id, n_bytes, the media column of every row of ``docs`` (doc_id, text), and the stream's PID, time stamps and
+    access points; null texts count as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_muxed, MEDIA)
 
 
 def describe(s: Stream) -> str:
@@ -205,7 +283,7 @@ def describe(s: Stream) -> str:
     level, spread = (float(samples.mean()), float(samples.std())) if len(samples) else (0.0, 0.0)
     last = s.pts[-1] if s.pts else 0
     return (
-        f"packets={s.packets};pid={s.stream_pid};type={s.stream_type};gaps={s.gaps};bad={s.bad};units={s.units};first_pts={s.pts[0] if s.pts else -1};"
+        f"packets={s.packets};pid={s.stream_pid};type={s.stream_type};gaps={s.gaps};bad={s.bad};duplicates={s.duplicates};units={s.units};first_pts={s.pts[0] if s.pts else -1};"
         f"last_pts={last};points={len(s.access_points)};last_point={s.access_points[-1][1] if s.access_points else -1};mean={level:.3f};std={spread:.3f}"
     )
 
@@ -234,10 +312,14 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, schema)
 
 
-def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Stores every text as a transport stream and reads the streams again; one row per row of ``docs``, no shuffle.
+def media_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Stores every text as a transport stream in a table, in the shared folder unless ``path`` is given, and reads the
+    stored streams again; one row per row of ``docs``, no shuffle.
 
     Null and empty texts give a payload of 64 zero bytes. Repeated rows and null ids are handled like any other.
     Other columns are ignored.
     """
-    return media_features(to_media(docs))
+    spark = docs.sparkSession
+    path = path or f"{c.shared_dir(spark)}/media"
+    to_media(docs).write.option("compression", "zstd").parquet(path)
+    return media_features(spark.read.schema(MEDIA).parquet(path))
