@@ -37,7 +37,7 @@ from . import common as c
 
 DISCOUNTED = 5
 SMOOTH = 0.1
-SLICE_TOKENS, BUCKET_ROWS, HOT = 2_000_000, 1_500_000, 1_500_000
+SLICE_TOKENS, BUCKET_ROWS, HOT = 1_200_000, 1_200_000, 1_200_000
 SEED = 0x51ED270B9F9A3C4D
 #: log10 probabilities are whole multiples of 2**-24 on their way.
 UNIT = float(1 << 24)
@@ -182,6 +182,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = place[c.unpack_numbers(batch.column("tokens")[i].as_py())]
             same = {n: batch.column(n)[i : i + 1] for n in ("slice", "doc_ids", "train", "ends")}
             yield pa.RecordBatch.from_pydict(same | {"words": pa.array([words], pa.list_(pa.int64())), "tokens": pa.array([c.pack_numbers(tokens.astype(np.int32))], pa.binary())})
+        c.give_back()
 
 
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,6 +259,8 @@ def _requests(batches: Iterator[pa.RecordBatch], one: Unigrams, buckets: int, ho
             parts = [c.pack_numbers(np.diff(a.v[lo:hi], prepend=0)), *(c.pack_numbers(x[lo:hi]) for x in (a.u, a.w, a.count))]
             out.append(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(a.bucket[edge]), "slice": pa.repeat(number, len(edge)), "request": pa.array(out, pa.binary())})
+        del a, out
+        c.give_back()
 
 
 def _opened(request: bytes) -> list[np.ndarray]:
