@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WINDOW, COVERAGE = 8, 0.5
-#: Bits of the sieve: 16 for each window of the benchmark, within these powers of two (at most 16 MB).
+#: Bits of the sieve: 1,024 for each window of the benchmark, within these powers of two (at most 16 MB). A window sets
+#: two of them.
 SIEVE_LEAST, SIEVE_MOST = 16, 27
 #: Number words and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
@@ -204,10 +205,16 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
 
 
+def _places(keys: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key, from its upper and its lower half."""
+    return (keys >> np.uint64(64 - power)).astype(np.int64), (keys & np.uint64((1 << power) - 1)).astype(np.int64)
+
+
 def _bits(batches: Iterator[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
     sieve = np.zeros(1 << power, dtype=bool)
     for batch in batches:
-        sieve[(batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)] = True
+        for place in _places(batch.column("key").to_numpy().view(np.uint64), power):
+            sieve[place] = True
     yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(sieve, bitorder="little").tobytes()], pa.binary())})
 
 
@@ -224,8 +231,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], sieve, power: int, widths: li
         for level, width in widths:
             template, _, _, text = s.levels[level]
             keys, at = window_keys(template, text, width, level)
-            place = (keys >> np.uint64(64 - power)).astype(np.int64)
-            near = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            near = np.arange(len(keys))
+            for place in _places(keys, power):
+                place = place[near]
+                near = near[(held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
             begin = np.searchsorted(text, np.arange(len(ids)))
             for key, p in zip(keys[near].view(np.int64).tolist(), at[near].tolist()):
                 check, _, slots = _window(s, raw, level, p, width)
@@ -300,8 +309,8 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     widths = sorted((r.level, r.width) for r in items.select("level", "width").distinct().collect())  # at most four times six
     if not widths:
         return spark.createDataFrame([], LEAKS)
-    power = max(SIEVE_LEAST, min(sieve_most, (16 * items.count()).bit_length()))
-    parts = items.select("key").coalesce(16).mapInArrow(partial(_bits, power=power), "bits binary").collect()
+    power = max(SIEVE_LEAST, min(sieve_most, (1024 * items.count()).bit_length()))
+    parts = items.select("key").coalesce(4).mapInArrow(partial(_bits, power=power), "bits binary").collect()
     sieve = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(p.bits, np.uint8) for p in parts]).tobytes())
     texts = docs.select(text_key().alias("text"), F.col("text").alias("whole")).where("whole <> ''")
     found = texts.mapInArrow(partial(_candidates, sieve=sieve, power=power, widths=widths), FOUND)
