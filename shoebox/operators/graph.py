@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import random
-import tempfile
-import uuid
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import remove, scratch, stored
+from .ordering import positions
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shoebox-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    path = path or scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Weights count in millionths, as whole numbers: sums don't depend on their order, and equal ones are equal.
+WEIGHT_UNIT = 1_000_000
+#: Fixed values of the turns: an odd multiplier near 2**32 over the golden ratio, and a step between rounds.
+TURN_MULTIPLIER, TURN_STEP, TURN_NODES = 2_654_435_761, 7_919, 1 << 30
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -53,73 +40,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def whisper(nodes: list[int], neighbours: dict[int, list[tuple[int, float]]], iterations: int = 20, seed: int = 0) -> dict[int, int]:
-    """Chinese Whispers in the given node order: every node takes the label with the largest weight around it."""
-    label = {n: n for n in nodes}
-    order, rng = list(nodes), random.Random(seed)
-    for _ in range(iterations):
-        rng.shuffle(order)
-        moved = 0
-        for n in order:
-            votes: dict[int, float] = {}
-            for other, weight in neighbours.get(n, ()):
-                votes[label[other]] = votes.get(label[other], 0.0) + weight
-            if votes:
-                winner = max(votes, key=votes.__getitem__)  # the first of equal ones
-                moved += winner != label[n]
-                label[n] = winner
-        if not moved:
-            break
-    return label
+def has_turn(node: Column, turn: int) -> Column:
+    """Whether a node may change in a round: for about half of all nodes, other ones in each round."""
+    mixed = (F.pmod(node.cast("long"), F.lit(TURN_NODES).cast("long")) + turn * TURN_STEP) * F.lit(TURN_MULTIPLIER).cast("long")
+    return F.shiftright(mixed, 16).bitwiseAND(1) == 1
 
 
-def chinese_whispers(nodes: DataFrame, edges: DataFrame, iterations: int = 20, seed: int = 0, largest: int = 200_000) -> DataFrame:
+def chinese_whispers(nodes: DataFrame, edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(node, label) for ``nodes`` (node) and ``edges`` (src, dst, weight); parallel links add their weights.
 
-    Labels never leave a connected component, so each is worked on by itself, with its nodes in ascending order: the
-    result is the same on every run. Components of more than ``largest`` links don't fit one task; in these all nodes
-    take their neighbours' heaviest label at once, round by round, with the smallest of equal labels.
+    Every node starts with its own label. In a round each node whose turn it is takes the label with the most weight
+    around it; of equal ones it keeps its own, or takes the smallest. As neighbours rarely have the same turns, they
+    don't go on swapping labels. It ends when no node would change, or after ``iterations`` rounds. A round is a join and
+    two aggregates at any size; results depend on the links alone.
     """
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    parts = connected_components(edges)
-    own = both.join(parts.withColumnRenamed("node", "src"), "src")
-    sizes = own.groupBy("component").agg(F.count("*").alias("links"))
-    own = own.join(sizes, "component")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "dst", "weight"], kind="stable")
-        near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, w in zip(rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist()):
-            near.setdefault(a, []).append((b, w))
-        found = whisper(sorted(near), near, iterations, seed)
-        return pd.DataFrame({"node": list(found), "label": list(found.values())})
-
-    small = own.where(F.col("links") <= largest).select("component", "src", "dst", "weight").groupBy("component").applyInPandas(run, "node long, label long")
-    big = own.where(F.col("links") > largest).select("src", "dst", "weight")
-    labels = small
-    if big.limit(1).count():
-        labels = small.unionByName(_synchronous(big, iterations))
-    rest = nodes.select("node").join(labels, "node", "left_anti")
-    return labels.unionByName(rest.select("node", F.col("node").alias("label")))
-
-
-def _synchronous(links: DataFrame, iterations: int) -> DataFrame:
-    root = scratch(links.sparkSession)
-    links = stored(links.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), f"{root}/links")
-    label = links.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
-    for k in range(iterations):
-        votes = links.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("weight"))
-        new = votes.groupBy(F.col("src").alias("node")).agg(F.max_by("label", F.struct("weight", -F.col("label"))).alias("label"))
-        new = stored(new, f"{root}/{k}")
-        if not new.exceptAll(label).limit(1).count():
+    spark, root = edges.sparkSession, scratch(edges.sparkSession)
+    weight = F.round(F.col("weight") * WEIGHT_UNIT).cast("long").alias("weight")
+    links = edges.select("src", "dst", weight).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight))
+    links = stored(links.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), f"{root}/links")
+    now = links.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    for turn in range(iterations):
+        near = links.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), F.col("label").alias("near")).agg(F.sum("weight").alias("weight"))
+        votes = near.join(now, "node")
+        best = votes.groupBy("node").agg(F.max_by("near", F.struct("weight", F.col("near") == F.col("label"), -F.col("near"))).alias("best"), F.first("label").alias("label"))
+        best = stored(best, f"{root}/{turn}")
+        now = best.select("node", F.when(has_turn(F.col("node"), turn), F.col("best")).otherwise(F.col("label")).alias("label"))
+        if turn > 1:
+            remove(spark, f"{root}/{turn - 2}")
+        if not best.where("best <> label").limit(1).count():
             break
-        label = new
-    return label
+    rest = nodes.select("node").distinct().join(now, "node", "left_anti")
+    return now.unionByName(rest.select("node", F.col("node").alias("label")))
 
 
 def by_size(labels: DataFrame) -> DataFrame:
     """(node, cluster): clusters numbered from 0, the largest first, then the one with the smallest node."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    # One row per cluster goes through the window.
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "least")) - 1)
-    return labels.join(numbered.select("label", "cluster"), "label").select("node", "cluster")
+    sizes = labels.groupBy("label").agg((-F.count("*")).alias("size"), F.min("node").alias("least"))
+    numbers = positions(sizes, "size", "least", name="cluster")
+    return labels.join(numbers.select("label", "cluster"), "label").select("node", "cluster")

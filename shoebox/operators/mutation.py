@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import positions
+
 #: What a changed file makes stale; the later stages keep their old results.
 RESET = ("content_hash", "hashed_at", "exif_at", "thumb_at", "phash_at")
 
@@ -24,8 +26,8 @@ def upsert_scanned(photos: DataFrame, scan: DataFrame, now: float, reset: tuple[
     changed = known & seen & ~(F.col("size_bytes").eqNullSafe(F.col("__size_bytes")) & F.col("mtime").eqNullSafe(F.col("__mtime")))
     rows = rows.withColumns({"__changed": changed, "__known": known, "__seen": seen})
     top = photos.agg(F.max("id").alias("__top"))
-    fresh = rows.where("NOT __known").withColumn("__n", F.row_number().over(Window.orderBy("__path")))
-    rows = rows.where("__known").withColumn("__n", F.lit(0)).unionByName(fresh).crossJoin(F.broadcast(top))
+    fresh = positions(rows.where("NOT __known"), "__path", "__path", name="__n").withColumn("__n", F.col("__n") + 1)
+    rows = rows.where("__known").withColumn("__n", F.lit(0).cast("long")).unionByName(fresh).crossJoin(F.broadcast(top))
 
     def value(c: str) -> Column:
         if c == "id":
@@ -53,8 +55,8 @@ def get_or_create(table: DataFrame, names: DataFrame, name: str = "name", key: s
     """The table with a row for every name; new ones get the next keys in the order of their names."""
     fresh = names.select(name).distinct().join(table, name, "left_anti")
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    fresh = fresh.withColumn("__n", F.row_number().over(Window.orderBy(name))).crossJoin(F.broadcast(top))
-    return table.unionByName(fresh.select((F.col("__top") + F.col("__n")).cast("long").alias(key), name), allowMissingColumns=True)
+    fresh = positions(fresh, name, name, name="__n").crossJoin(F.broadcast(top))  # one row
+    return table.unionByName(fresh.select((F.col("__top") + F.col("__n") + 1).cast("long").alias(key), name), allowMissingColumns=True)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import scalars as fn
-from .graph import by_size, chinese_whispers, stored
+from ..sources.storage import stored
+from .graph import by_size, chinese_whispers
+from .ordering import positions
 from .vector import assign_nearest, centroids, knn_graph
 
 CLUSTER_COLUMNS = ["cluster_id", "label", "pinned", "rep_face_id", "size", "centroid"]
@@ -26,10 +28,10 @@ def kept_detections(detections: DataFrame, min_size: int = DEFAULTS.face_min_siz
     return rows.withColumns({"bx": F.col("x1") / F.col("width"), "by": F.col("y1") / F.col("height"), "bw": w / F.col("width"), "bh": h / F.col("height")}).drop("x1", "y1", "x2", "y2")
 
 
-def cluster_vectors(rows: DataFrame, k: int = DEFAULTS.cluster_k, threshold: float = DEFAULTS.edge_threshold, key: str = "id", vector: str = "embedding", seed: int = 0) -> DataFrame:
+def cluster_vectors(rows: DataFrame, k: int = DEFAULTS.cluster_k, threshold: float = DEFAULTS.edge_threshold, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(key, cluster): neighbour graph, Chinese Whispers, and numbers by size."""
     nodes = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("node"))
-    labels = chinese_whispers(nodes, stored(knn_graph(rows, k, threshold, key, vector)), seed=seed)
+    labels = chinese_whispers(nodes, stored(knn_graph(rows, k, threshold, key, vector)))
     return stored(by_size(stored(labels)).select(F.col("node").alias(key), "cluster"))
 
 
@@ -93,7 +95,7 @@ def recluster_pending(faces: DataFrame, clusters: DataFrame, k: int = DEFAULTS.c
     rows = faces.join(moves, "cluster_id", "left").withColumn("cluster_id", F.coalesce("target", "cluster_id")).select(faces.columns)
     top = (clusters.agg(F.max("cluster_id")).first()[0] or 0) + 1
     fresh = pending.join(group, "face_id").join(target, "cluster", "left_anti").groupBy("cluster").agg(F.min("face_id").alias("least"))
-    fresh = fresh.select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1 + top).cast("long").alias("target"))
+    fresh = positions(fresh, "cluster", "least", name="place").select("cluster", (F.col("place") + top).cast("long").alias("target"))
     found = pending.select("face_id").join(group, "face_id").join(target.unionByName(fresh), "cluster").select("face_id", F.col("target").alias("new_cluster"))
     rows = stored(_with_cluster(rows, found))
     kept = clusters.join(moves, "cluster_id", "left_anti").select("cluster_id", "label", "pinned")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,18 +29,54 @@ def test_components_equal_union_find(spark):
     assert graph.connected_components(frame(spark, edges).where("false")).count() == 0
 
 
+def whispers(nodes, edges, iterations=20):
+    """The same rounds over dictionaries."""
+    near = defaultdict(Counter)
+    for a, b, w in edges:
+        if a != b:
+            near[a][b] += round(w * 1_000_000)
+            near[b][a] += round(w * 1_000_000)
+    label = {n: n for n in near}
+    for turn in range(iterations):
+        best = {}
+        for n in near:
+            votes = Counter()
+            for other, w in near[n].items():
+                votes[label[other]] += w
+            best[n] = max(votes, key=lambda x: (votes[x], x == label[n], -x))
+        turns = {n: (n % (1 << 30) + turn * 7_919) * 2_654_435_761 // 65_536 % 2 for n in near}
+        done = best == label
+        label = {n: best[n] if turns[n] else label[n] for n in near}
+        if done:
+            break
+    return {n: n for n in nodes} | label
+
+
 def test_two_triangles(spark):
     edges = frame(spark, [(1, 2), (2, 3), (3, 1), (11, 12), (12, 13), (13, 11)])
     nodes = edges.select(F.col("src").alias("node")).unionByName(spark.createDataFrame([(99,)], "node long"))
-    for largest in (200_000, 0):  # one by one, and all at once
-        labels = {r.node: r.label for r in graph.chinese_whispers(nodes, edges, largest=largest).collect()}
-        assert labels[1] == labels[2] == labels[3] != labels[11] == labels[12] == labels[13] and labels[99] == 99
+    labels = {r.node: r.label for r in graph.chinese_whispers(nodes, edges).collect()}
+    assert labels[1] == labels[2] == labels[3] != labels[11] == labels[12] == labels[13] and labels[99] == 99
     assert {r.node: r.cluster for r in graph.by_size(graph.chinese_whispers(nodes, edges)).collect()} == {1: 0, 2: 0, 3: 0, 11: 1, 12: 1, 13: 1, 99: 2}
 
 
-def test_whisper_takes_the_heaviest_label():
-    near = {1: [(2, 1.0), (3, 0.4)], 2: [(1, 1.0)], 3: [(1, 0.4), (4, 2.0)], 4: [(3, 2.0)]}
-    got = graph.whisper([1, 2, 3, 4], near)
+def test_whispers_equal_rounds_over_dictionaries(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(20 * k, 20 * k + 20), rng.randrange(20 * k, 20 * k + 20), rng.random()) for k in range(5) for _ in range(60)]
+    links += [(rng.randrange(100), rng.randrange(100), 0.2 * rng.random()) for _ in range(30)]
+    links += [(1000, 1001, 1.0), *((2000, 2001 + k, 1.0) for k in range(8)), (-5, 2**60, 0.5)]  # a pair, a star, wide ids
+    nodes = sorted({n for a, b, _ in links for n in (a, b)} | {777})
+    edges = spark.createDataFrame(links, "src long, dst long, weight double")
+    got = {r.node: r.label for r in graph.chinese_whispers(spark.createDataFrame([(n,) for n in nodes], "node long"), edges).collect()}
+    assert got == whispers(nodes, links)
+    assert got[1000] == got[1001] and len({got[2000 + k] for k in range(9)}) == 1  # these settle
+    again = graph.chinese_whispers(edges.select(F.col("src").alias("node")), edges.repartition(7, "weight"))
+    assert {r.node: r.label for r in again.collect()}.items() <= got.items()
+
+
+def test_the_heaviest_label_wins(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.4), (3, 4, 2.0)], "src long, dst long, weight double")
+    got = {r.node: r.label for r in graph.chinese_whispers(edges.select(F.col("src").alias("node")), edges).collect()}
     assert got[1] == got[2] != got[3] == got[4]
 
 
