@@ -129,6 +129,42 @@ def faces_with_person(faces: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("photo_id", "face_id", F.coalesce("quality", F.lit(0.0)).alias("quality"), named.alias("named"))
 
 
+def roots(table: DataFrame) -> DataFrame:
+    """The scanned folders in the order of their paths."""
+    return table.orderBy("path")
+
+
+def faces_of(faces: DataFrame, photo_id: int) -> DataFrame:
+    return faces.where(F.col("photo_id") == photo_id).orderBy("face_id")
+
+
+def pending_faces(faces: DataFrame) -> DataFrame:
+    """The pool: faces that no run has assigned yet."""
+    return faces.where("assigned = 0").orderBy("face_id")
+
+
+def faces_in_cluster(faces: DataFrame, cluster_id: int) -> DataFrame:
+    """A cluster's faces, the best first."""
+    return faces.where(F.col("cluster_id") == cluster_id).orderBy(F.desc("quality"), "face_id")
+
+
+def anchors(clusters: DataFrame, faces: DataFrame) -> DataFrame:
+    """Clusters with their representative face's row; those without one are left out."""
+    rep = faces.withColumnsRenamed({"face_id": "rep_face_id", "cluster_id": "face_cluster_id"})
+    return clusters.where(F.col("rep_face_id").isNotNull()).join(rep, "rep_face_id")
+
+
+def text_of(ocr: DataFrame, regions: DataFrame, photo_id: int) -> DataFrame:
+    """(photo_id, text, regions) of one photo, always one row: '' and no regions where nothing was read."""
+    one = ocr.sparkSession.range(1).select(F.lit(photo_id).cast("long").alias("photo_id"))
+    text = ocr.where(F.col("photo_id") == photo_id).groupBy("photo_id").agg(F.max("text").alias("text"))
+    names = [n for n in regions.columns if n != "photo_id"]
+    own = regions.where(F.col("photo_id") == photo_id).groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("ord", *(n for n in names if n != "ord")))).alias("regions"))
+    rows = one.join(text, "photo_id", "left").join(own, "photo_id", "left")
+    empty = F.array().cast(own.schema["regions"].dataType)
+    return rows.select("photo_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("regions", empty).alias("regions"))
+
+
 def group_list(groups: DataFrame, photos: DataFrame, kind: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """Groups of a kind with their cover photo's columns, the largest first; ValueError for an unknown kind."""
     if kind not in GROUP_KINDS:

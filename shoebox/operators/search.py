@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import scalars as fn
+from ..sources.storage import stored
 from .dates import parse_dates
 from .relational import clamp_limit
 from .text import bm25
@@ -29,16 +31,51 @@ def geocode(places: DataFrame, name: str) -> DataFrame:
     return hits.orderBy(F.desc(exact), F.desc("population"), "place_id").limit(1).select("place_id", "name", "country", "lat", "lon", "population")
 
 
-def reverse_geocode(photos: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, place_id, name, km): the nearest place of every photo with coordinates.
+#: Cell sizes in degrees of the passes of reverse_geocode, each for what the one before couldn't settle.
+GEO_CELLS = (1, 6, 30)
+GEO_SHARDS = 64
 
-    The gazetteer is a dimension of bounded size (cities above a population), so every photo meets every place; Spark
-    sends it to the tasks if it is small enough.
+
+def _nearest(points: DataFrame, places: DataFrame, on: list[str]) -> DataFrame:
+    rows = points.join(places, on).withColumn("km", fn.haversine_km("gps_lat", "gps_lon", "lat", "lon"))
+    return rows.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct("km", "place_id", "name")).alias("b"))
+
+
+def _in_cells(points: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """The nearest place in a point's own cell and the eight around it; ``sure`` where nothing beyond can be nearer."""
+    across = 360 // size
+    row, column = (F.floor((F.col(name) + half) / size).cast("int") for name, half in (("gps_lat", 90), ("gps_lon", 180)))
+    own = points.withColumns({"__row": row, "__column": F.pmod(column, F.lit(across))})
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in sorted({k % across for k in (-1, 0, 1)})))
+    row, column = (F.floor((F.col(name) + half) / size).cast("int") for name, half in (("lat", 90), ("lon", 180)))
+    around = places.withColumn("__step", F.explode(steps)).withColumns({"__row": row + F.col("__step.i"), "__column": F.pmod(column + F.col("__step.j"), F.lit(across))})
+    found = points.join(_nearest(own, around.drop("__step"), ["__row", "__column"]), ["gps_lat", "gps_lon"], "left")
+    # At least a whole cell lies between the point and what was left out: along the meridian, or across meridians.
+    edge = fn.EARTH_KM * F.least(F.lit(float(size)) * 3.141592653589793 / 180, F.asin(F.cos(F.radians("gps_lat")) * F.sin(F.radians(F.lit(float(size))))))
+    return found.withColumn("sure", F.coalesce(F.col("b.km") <= edge - 1e-6, F.lit(False)))
+
+
+def reverse_geocode(photos: DataFrame, places: DataFrame, cells: tuple[int, ...] = GEO_CELLS) -> DataFrame:
+    """(id, place_id, name, km): the nearest place of every photo with coordinates, exactly; of equal ones the smallest id.
+
+    Distinct coordinates are joined with the places by grid cells, with larger cells for those whose nearest place may
+    lie outside of the cells around them. What is left by the largest cells (points near the poles, or far from every
+    place) is dealt into shards that each meet all places.
     """
-    rows = photos.where("gps_lat IS NOT NULL AND gps_lon IS NOT NULL").select("id", "gps_lat", "gps_lon").crossJoin(places.select("place_id", "name", "lat", "lon"))
-    rows = rows.withColumn("km", fn.haversine_km("gps_lat", "gps_lon", "lat", "lon"))
-    best = rows.groupBy("id").agg(F.min(F.struct("km", "place_id", "name")).alias("b"))
-    return best.select("id", "b.place_id", "b.name", "b.km")
+    spots = photos.where("gps_lat IS NOT NULL AND gps_lon IS NOT NULL")
+    points = spots.select("gps_lat", "gps_lon").distinct()
+    places = places.select("place_id", "name", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    done = []
+    for size in cells:
+        found = stored(_in_cells(points, places, size))
+        done.append(found.where("sure").select("gps_lat", "gps_lon", "b"))
+        points = found.where("NOT sure").select("gps_lat", "gps_lon")
+    if points.limit(1).count():
+        shard = F.pmod(F.xxhash64("gps_lat", "gps_lon"), F.lit(GEO_SHARDS)).cast("int")
+        everywhere = places.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(GEO_SHARDS - 1))))
+        done.append(_nearest(points.withColumn("__shard", shard), everywhere, ["__shard"]))
+    best = reduce(DataFrame.unionByName, done)
+    return spots.select("id", "gps_lat", "gps_lon").join(best, ["gps_lat", "gps_lon"]).select("id", "b.place_id", "b.name", "b.km")
 
 
 @dataclass(frozen=True)

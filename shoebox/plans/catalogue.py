@@ -6,15 +6,18 @@ Every query runs over its whole tables. Computed doubles are rounded to six digi
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import mutation, near_dup, people, relational, search, segment, text, triage, vector
-from ..operators.graph import connected_components, scratch
+from ..operators.dates import parse_dates
+from ..operators.graph import connected_components
 from ..operators.maintenance import eviction_plan
 from ..operators.ordering import positions
+from ..sources.storage import scratch
 from ..streaming import sessions as streaming
 from . import views as v
 
@@ -303,12 +306,12 @@ def cluster_cohesion(spark, sf_dir):
     return vector.cohesion(_vectors(spark, sf_dir), ["label"]).withColumn("cohesion", six("cohesion"))
 
 
-@query(f"""WITH {SQL_MEAN.format(by="label", t="(SELECT * FROM embeddings WHERE vec_id % 5 > 0)")}, s AS (SELECT vec_id AS face_id, k AS cluster_id, {v.sql_dot('embedding', 'centroid')} AS score FROM embeddings, cents WHERE vec_id % 5 = 0),
+@query(f"""WITH {SQL_LABEL_MEAN}, s AS (SELECT vec_id AS face_id, k AS cluster_id, {v.sql_dot('embedding', 'centroid')} AS score FROM embeddings, cents),
 r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, cluster_id) AS n FROM s) SELECT face_id, cluster_id::BIGINT AS cluster_id, round(score, 6) AS score FROM r WHERE n = 1 AND score >= 0.1""")
 def assign_nearest_centroid(spark, sf_dir):
+    """All faces against the centroids of all labels."""
     faces = v.faces(spark, sf_dir)
-    centres = vector.centroids(faces.where("face_id % 5 > 0"), ["cluster_id"])
-    return vector.assign_nearest(faces.where("face_id % 5 = 0"), centres, 0.1).withColumn("score", six("score"))
+    return vector.assign_nearest(faces, vector.centroids(faces, ["cluster_id"]), 0.1).withColumn("score", six("score"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice/100000.0E0 AS det_score, round(8/640.0E0, 6) AS bx, round(l_quantity*2/640.0E0, 6) AS bw, round(l_quantity/480.0E0, 6) AS bh FROM lineitem WHERE least(l_quantity*2, l_quantity) >= 32 AND l_extendedprice/100000.0E0 >= 0.5""")
@@ -331,15 +334,38 @@ def latest_per_user(spark, sf_dir):
     return relational.latest_per(rows, ["user_id"], "o").select("user_id", "ts", "event_id")
 
 
-@query()
+def _sql_whispers(rounds: int = 20) -> str:
+    """The rounds of label propagation, one after another."""
+    out = f"""{SQL_KNN}, units AS (SELECT src, dst, round(weight*1000000)::BIGINT AS weight FROM graph),
+links AS MATERIALIZED (SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT * FROM units UNION ALL SELECT dst, src, weight FROM units) WHERE src <> dst GROUP BY ALL), l0 AS (SELECT DISTINCT src AS node, src AS label FROM links)"""
+    for t in range(rounds):
+        turn = f"(((node % {1 << 30} + {t * 7_919}) * 2654435761) >> 16) & 1"
+        out += f""",
+v{t} AS (SELECT k.src AS node, o.label AS label, n.label AS near, sum(k.weight) AS weight FROM links k JOIN l{t} n ON n.node = k.dst JOIN l{t} o ON o.node = k.src GROUP BY ALL),
+l{t + 1} AS MATERIALIZED (SELECT node, CASE WHEN {turn} = 1 THEN near ELSE label END AS label FROM v{t} QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, near = label DESC, near) = 1)"""
+    return out + f""",
+labels AS (SELECT vec_id AS id, coalesce(l{rounds}.label, vec_id) AS label FROM embeddings LEFT JOIN l{rounds} ON node = vec_id),
+sizes AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS cluster FROM labels GROUP BY label),
+communities AS MATERIALIZED (SELECT id, cluster::BIGINT AS cluster FROM labels JOIN sizes USING (label))"""
+
+
+SQL_WHISPERS = _sql_whispers()
+
+
+@query(f"WITH {SQL_WHISPERS} SELECT id, cluster FROM communities")
 def communities(spark, sf_dir):
-    """Chinese Whispers over the neighbour graph, numbered by size."""
+    """Label propagation over the neighbour graph, numbered by size."""
     return people.cluster_vectors(_vectors(spark, sf_dir), 20, 0.35)
 
 
-@query()
+SQL_THEME = f"""own AS (SELECT id, cluster, embedding, count(*) OVER (PARTITION BY cluster) AS size FROM communities JOIN embeddings ON vec_id = id),
+members AS (SELECT * FROM own WHERE size >= 3), {SQL_MEAN.format(by="cluster", t="members")}, near AS (SELECT m.*, {v.sql_dot("embedding", "centroid")} AS cosine FROM members m JOIN cents ON k = cluster)"""
+
+
+@query(f"""WITH {SQL_WHISPERS}, {SQL_THEME.replace("near AS", "close AS").replace("parts AS", "t_parts AS").replace("FROM parts", "FROM t_parts")} SELECT cluster AS theme, concat('theme-', cluster) AS "key", id, round(cosine, 6) AS cosine, (row_number() OVER w - 1)::DOUBLE AS rank, size,
+ round(avg(cosine) OVER (PARTITION BY cluster), 6) AS cohesion, first(id) OVER w AS rep_photo_id FROM close WINDOW w AS (PARTITION BY cluster ORDER BY cosine DESC, id)""")
 def theme_members(spark, sf_dir):
-    return people.themes(_vectors(spark, sf_dir).drop("label"), 20, 0.35, 3)
+    return people.themes(_vectors(spark, sf_dir).drop("label"), 20, 0.35, 3).withColumns({"cosine": six("cosine"), "cohesion": six("cohesion")})
 
 
 # --- near-duplicates -----------------------------------------------------------------------------------------------
@@ -588,7 +614,8 @@ def graph_components(spark, sf_dir):
     return connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), n AS (SELECT user_id, t, sum(CASE WHEN p IS NULL OR t - p > 14400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS s FROM g),
+x AS (SELECT user_id, min(t) AS start_at, max(t) AS end_at, count(*) AS size FROM n GROUP BY user_id, s) SELECT * FROM x WHERE end_at + 14400 <= (SELECT max(epoch(ts)) FROM events) - 3600""")
 def stream_sessions(spark, sf_dir):
     """Sessions of the events as a stream that ends when all is read: those that are closed an hour before its end."""
     root = scratch(spark)
@@ -597,3 +624,166 @@ def stream_sessions(spark, sf_dir):
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{root}/in")
     streaming.run_sessions(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema("user_id long, start_at double, end_at double, size long").parquet(f"{root}/out")
+
+
+# --- look-ups, pools, memberships ------------------------------------------------------------------------------------
+
+
+@query("SELECT id, pos FROM (SELECT row_number() OVER (ORDER BY vec_id DESC) - 1 AS pos, vec_id AS id FROM embeddings) JOIN documents ON doc_id = id WHERE lang = 'en'")
+def hydrated_hits(spark, sf_dir):
+    """Ranked hits with their rows; hits whose row is gone (here, of another language) are left out."""
+    ranked = positions(v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (-F.col("vec_id")).alias("o")), "o", "id", name="rank")
+    rows = v.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("thumb_at"))
+    return relational.hydrate(ranked.select("id", "rank"), rows).select("id", F.col("rank").alias("pos"))
+
+
+@query(f"{v.sql('faces')}, {v.SQL['clusters']} SELECT c.cluster_id, c.rep_face_id, f.photo_id, f.quality FROM clusters c JOIN faces f ON f.face_id = c.rep_face_id")
+def cluster_anchors(spark, sf_dir):
+    return relational.anchors(v.clusters(spark, sf_dir), v.faces(spark, sf_dir)).select("cluster_id", "rep_face_id", "photo_id", "quality")
+
+
+@query(f"{v.sql('faces')} SELECT face_id, cluster_id, quality FROM faces WHERE photo_id = 7")
+def faces_of_photo(spark, sf_dir):
+    return relational.faces_of(v.faces(spark, sf_dir), 7).select("face_id", "cluster_id", "quality")
+
+
+def _pool(spark, sf_dir):
+    """Faces of low quality wait without a cluster."""
+    f = v.faces(spark, sf_dir)
+    waits = F.col("quality") < 0.3
+    return f.withColumns({"assigned": F.when(waits, 0).otherwise(1), "cluster_id": F.when(~waits, F.col("cluster_id"))})
+
+
+@query(f"{v.sql('faces')} SELECT face_id, photo_id, quality FROM faces WHERE quality < 0.3")
+def pending_faces(spark, sf_dir):
+    return relational.pending_faces(_pool(spark, sf_dir)).select("face_id", "photo_id", "quality")
+
+
+@query(f"{v.sql('faces')}, {v.SQL['clusters']} SELECT face_id, CASE WHEN cluster_id < 4 AND quality >= 0.3 THEN cluster_id END AS cluster_id, CASE WHEN cluster_id < 4 AND quality >= 0.3 THEN 1 ELSE 0 END AS assigned FROM faces")
+def reset_unpinned(spark, sf_dir):
+    """Faces of clusters that aren't pinned go back to the pool."""
+    clusters = v.clusters(spark, sf_dir).withColumn("centroid", F.lit(None).cast("array<double>"))
+    return people.reset_unpinned(_pool(spark, sf_dir), clusters)[0].select("face_id", "cluster_id", "assigned")
+
+
+@query(f"{v.sql('faces')}, g AS (SELECT CASE WHEN cluster_id IN (1, 2, 3) THEN 1 ELSE cluster_id END AS cluster_id, face_id, quality FROM faces) SELECT cluster_id, count(*) AS size, arg_max(face_id, [quality, -face_id]) AS rep_face_id FROM g GROUP BY 1")
+def merged_clusters(spark, sf_dir):
+    """Clusters 2 and 3 go into 1; sizes and representatives are made anew."""
+    clusters = v.clusters(spark, sf_dir).withColumn("centroid", F.lit(None).cast("array<double>"))
+    return people.merge_clusters(v.faces(spark, sf_dir), clusters, 1, [2, 3])[1].select("cluster_id", "size", "rep_face_id")
+
+
+def _groups(spark, sf_dir):
+    """Customers' orders as groups and items: by priority and by status."""
+    o = v.table(spark, sf_dir, "orders")
+    items = o.select((F.col("o_custkey") * 2).alias("group_id"), F.col("o_orderkey").alias("photo_id"), F.col("o_totalprice").alias("rank"))
+    items = items.unionByName(o.select((F.col("o_custkey") * 2 + 1).alias("group_id"), F.col("o_orderkey").alias("photo_id"), (-F.col("o_totalprice")).alias("rank")))
+    groups = v.table(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("id"), F.col("c_acctbal").alias("score"))
+    return groups.withColumn("kind", F.when(F.col("id") % 2 == 0, "event").otherwise("burst")), items
+
+
+SQL_GROUPS = """WITH items AS (SELECT o_custkey*2 AS group_id, o_orderkey AS photo_id, o_totalprice AS rank FROM orders UNION ALL SELECT o_custkey*2+1, o_orderkey, -o_totalprice FROM orders),
+groups AS (SELECT c_custkey*2 + i AS id, c_acctbal AS score, CASE WHEN i = 0 THEN 'event' ELSE 'burst' END AS kind FROM customer, (VALUES (0), (1)) AS x(i))"""
+
+
+@query(f"{SQL_GROUPS} SELECT photo_id, rank FROM items WHERE group_id = 14")
+def members_by_rank(spark, sf_dir):
+    return relational.group_members(_groups(spark, sf_dir)[1], 14).select("photo_id", "rank")
+
+
+@query(f"{SQL_GROUPS} SELECT photo_id, max(group_id) AS group_id FROM items JOIN groups ON id = group_id WHERE kind = 'burst' AND photo_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY photo_id")
+def groups_of_members(spark, sf_dir):
+    groups, items = _groups(spark, sf_dir)
+    ids = v.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey")
+    return relational.member_groups(items, groups, "burst", ids)
+
+
+@query(f"{SQL_GROUPS} SELECT id, kind, score FROM groups WHERE id IN (SELECT group_id FROM items WHERE photo_id = 33)")
+def groups_of_photo(spark, sf_dir):
+    groups, items = _groups(spark, sf_dir)
+    return relational.groups_of(items, groups, 33).select("id", "kind", "score")
+
+
+@query(f"""{SQL_GROUPS}, fresh AS (SELECT l_orderkey*2 AS id, count(*) AS size FROM lineitem GROUP BY 1) SELECT kind, id, size FROM (SELECT kind, id, 0 AS size FROM groups WHERE kind <> 'event' UNION ALL SELECT 'event', id, size FROM fresh)""")
+def replace_groups(spark, sf_dir):
+    """All groups of a kind are replaced; those of other kinds stay."""
+    groups = _groups(spark, sf_dir)[0].select("id", "kind", F.lit(0).cast("long").alias("size"))
+    fresh = v.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 2).alias("id")).agg(F.count("*").alias("size")).withColumn("kind", F.lit("event"))
+    kinds = spark.createDataFrame([("event",)], "kind string")
+    return mutation.replace_children(groups, kinds, fresh, "kind").select("kind", "id", "size")
+
+
+@query("SELECT event_id AS id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def newest_log(spark, sf_dir):
+    return relational.newest(v.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type"))
+
+
+@query("SELECT n_name AS path, row_number() OVER (ORDER BY n_name) - 1 AS pos FROM nation")
+def roots_list(spark, sf_dir):
+    return positions(relational.roots(v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"))), "path", "path").select("path", "pos")
+
+
+# --- changes of tables -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 24 + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)")
+def get_or_create(spark, sf_dir):
+    names = v.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).unionByName(v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    return mutation.get_or_create(v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), names)
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE event_type END AS event_type FROM events")
+def upsert_links(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return mutation.upsert(e, e.where("event_id % 3 = 0").withColumn("event_type", F.lit("new")), ["event_id", "user_id"])
+
+
+@query("SELECT vec_id, label FROM embeddings UNION ALL SELECT DISTINCT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def insert_or_ignore(spark, sf_dir):
+    old = v.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    d = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(-1).alias("label"))
+    return mutation.insert_missing(old, d.unionByName(d), ["vec_id"])
+
+
+@query("SELECT event_id, CASE WHEN value > 90 THEN 'high' ELSE event_type END AS event_type, value FROM events")
+def partial_update(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return mutation.apply_updates(e, e.select("event_id", F.when(F.col("value") > 90, "high").alias("event_type")), "event_id")
+
+
+@query("SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN user_id END AS user_id FROM events")
+def set_null_on_delete(spark, sf_dir):
+    parents = v.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return mutation.set_null(v.table(spark, sf_dir, "events").select("event_id", "user_id"), parents, "user_id")
+
+
+@query("SELECT event_id AS id, CASE WHEN running THEN 'error' ELSE event_type END AS state, CASE WHEN running THEN 'interrupted' END AS error_msg, CASE WHEN running THEN 5.0 END AS finished_at FROM (SELECT *, event_type = (SELECT min(event_type) FROM events) AND user_id % 2 = 0 AS running FROM events)")
+def interrupted_jobs(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type")).first()[0]
+    kind = F.when(F.col("user_id") % 2 == 0, "ingest").otherwise("export")
+    jobs = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == first, "running").otherwise(F.col("event_type")).alias("state"), kind.alias("kind"), F.lit(None).cast("string").alias("error_msg"), F.lit(None).cast("double").alias("updated_at"), F.lit(None).cast("double").alias("finished_at"))
+    done = mutation.fail_running_jobs(jobs, "ingest", 5.0)
+    return done.select("id", F.when(F.col("state") == "running", first).otherwise(F.col("state")).alias("state"), "error_msg", "finished_at")
+
+
+@query("SELECT doc_id AS photo_id, CASE WHEN doc_id % 2 = 0 THEN 'read again: ' || text ELSE text END AS text FROM documents WHERE doc_id % 2 = 1 OR trim(text) <> ''")
+def replaced_texts(spark, sf_dir):
+    """Text rows of photos that were read again are replaced; blank ones are not stored."""
+    rows = v.ocr(spark, sf_dir)
+    done = rows.where("photo_id % 2 = 0")
+    return mutation.set_ocr(rows, done.select("photo_id"), done.select("photo_id", F.concat(F.lit("read again: "), "text").alias("text")))
+
+
+# --- dates in queries --------------------------------------------------------------------------------------------------
+
+PHRASES = ["beach 2024", "trip july 2023", "2023 Jul x", "receipts 2022-08", "2020-05-17 party", "2023-02-30", "summer 2019 sea", "last spring", "yesterday", "past 3 days", "this year a", "march on"]
+
+
+@query("""SELECT * FROM (VALUES ('beach 2024', 'beach', epoch(TIMESTAMP '2024-01-01'), epoch(TIMESTAMP '2025-01-01') - 1), ('trip july 2023', 'trip', epoch(TIMESTAMP '2023-07-01'), epoch(TIMESTAMP '2023-08-01') - 1), ('2023 Jul x', 'x', epoch(TIMESTAMP '2023-07-01'), epoch(TIMESTAMP '2023-08-01') - 1),
+('receipts 2022-08', 'receipts', epoch(TIMESTAMP '2022-08-01'), epoch(TIMESTAMP '2022-09-01') - 1), ('2020-05-17 party', 'party', epoch(TIMESTAMP '2020-05-17'), epoch(TIMESTAMP '2020-05-18') - 1), ('2023-02-30', '-30', epoch(TIMESTAMP '2023-02-01'), epoch(TIMESTAMP '2023-03-01') - 1),
+('summer 2019 sea', 'sea', epoch(TIMESTAMP '2019-06-01'), epoch(TIMESTAMP '2019-09-01') - 1), ('last spring', '', epoch(TIMESTAMP '2026-03-01'), epoch(TIMESTAMP '2026-06-01') - 1), ('yesterday', '', epoch(TIMESTAMP '2026-07-31'), epoch(TIMESTAMP '2026-08-01') - 1), ('past 3 days', '', epoch(TIMESTAMP '2026-07-29 12:00:00'), epoch(TIMESTAMP '2026-08-01 12:00:00')),
+('this year a', 'a', epoch(TIMESTAMP '2026-01-01'), epoch(TIMESTAMP '2026-08-01 12:00:00')), ('march on', 'march on', NULL, NULL)) AS x(query, cleaned, date_from, date_to)""")
+def date_phrases(spark, sf_dir):
+    found = [(q, parse_dates(q, datetime(2026, 8, 1, 12, tzinfo=UTC))) for q in PHRASES]
+    return spark.createDataFrame([(q, p.cleaned_query, p.date_from, p.date_to) for q, p in found], "query string, cleaned string, date_from double, date_to double")

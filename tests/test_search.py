@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -119,3 +120,20 @@ def test_cells_against_exact_neighbours(spark):
     assert len(near & exact) / len(exact) > 0.9
     asked = vector.knn(rows, 3, queries=rows.where("id % 100 = 0")).collect()
     assert len(asked) == 12 and {(r.id, r.other) for r in asked} <= exact
+
+
+def test_the_nearest_place_by_cells_equals_all_pairs(spark):
+    rng = random.Random(2)
+    places = [(k, f"p{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(40)]
+    places += [(100, "pole", 89.9, 10.0), (101, "east of the date line", 0.0, -179.9), (102, "west of it", 0.0, 179.5), (103, "same", 10.0, 10.0), (104, "same", 10.0, 10.0)]
+    spots = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(300)]
+    spots += [(500, 0.1, 179.99), (501, 0.1, -179.6), (502, 89.0, -170.0), (503, -90.0, 0.0), (504, 10.0, 10.5), (505, 90.0, 180.0), (506, None, 1.0)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {i: min((round(km(a, b, c, d), 6), p) for p, _, c, d in places) for i, a, b in spots if a is not None}
+    photos = spark.createDataFrame(spots, "id long, gps_lat double, gps_lon double")
+    found = search.reverse_geocode(photos, spark.createDataFrame(places, "place_id long, name string, lat double, lon double"))
+    assert {r.id: (round(r.km, 6), r.place_id) for r in found.collect()} == want
