@@ -29,7 +29,7 @@ from . import common as c
 
 VOCABULARY = "word_bpe_49k.json"
 #: Cached pieces, and as many words, of a Python worker; what doesn't fit is encoded anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 #: Below this character all versions of Unicode agree on letters and digits.
 PLAIN_BELOW = "\u0250"
 END = "Ā"  # the mark of a word's end, beyond the 256 byte values
