@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once by one numpy pass; bounds the memory of a Python worker, not what is read.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,6 +147,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(21, int(n).bit_length()))
 
 
+hold("powers", _powers.cache_clear)
+
+
 def give_back() -> None:
     """Returns freed memory to the machine: a worker serves many tasks, and keeps the most that any of them took."""
     pa.default_memory_pool().release_unused()
