@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HASH_SIDE, DCT_SIDE = 8, 32
 SHARP_SCALE, COLOUR_SCALE, CONTRAST_SCALE = 150.0, 50.0, 64.0
@@ -123,3 +127,44 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def image_features(images: DataFrame) -> DataFrame:
     """All pixel features of decoded images in one pass over each."""
     return images.select("path", "height", "width", "channels", "data").mapInPandas(_features, FEATURES)
+
+
+def oriented(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned and mirrored the way its EXIF orientation (1 to 8) says; others leave it as it is."""
+    turns, mirrored = {2: (0, True), 3: (2, False), 4: (2, True), 5: (3, True), 6: (3, False), 7: (1, True), 8: (1, False)}.get(orientation, (0, False))
+    out = np.rot90(image[:, ::-1] if mirrored and orientation in (2, 4) else image, turns)
+    return out[:, ::-1] if mirrored and orientation in (5, 7) else out
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """A PNG of 8-bit RGB."""
+    rows = np.concatenate([np.zeros((len(rgb), 1), np.uint8), rgb.reshape(len(rgb), -1)], axis=1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+RENDERED = "path string, width int, height int, content binary"
+
+
+def _rendered(batches: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples():
+            rgb = oriented(_pixels(row), int(row.orientation))
+            small = resize(rgb, *fit_within(*rgb.shape[:2], longest))
+            small = np.clip(np.round(small), 0, 255).astype(np.uint8)
+            rows.append((row.path, small.shape[1], small.shape[0], png(small)))
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in RENDERED.split(", ")])
+
+
+def rendered(images: DataFrame, longest: int) -> DataFrame:
+    """(path, width, height, content): decoded images (and their orientation, 1 if there is none) as PNG with a longest
+    edge of at most ``longest``: 256 for thumbnails, 1024 for previews."""
+    if "orientation" not in images.columns:
+        images = images.withColumn("orientation", F.lit(1))
+    rows = images.select("path", "height", "width", "channels", "data", F.coalesce("orientation", F.lit(1)).alias("orientation"))
+    return rows.mapInPandas(partial(_rendered, longest=longest), RENDERED)

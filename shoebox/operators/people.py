@@ -147,3 +147,28 @@ def set_label(clusters: DataFrame, cluster_id: int, label: str) -> DataFrame:
     """A label that isn't blank pins its cluster."""
     own = F.col("cluster_id") == cluster_id
     return clusters.withColumns({"label": F.when(own, F.lit(label)).otherwise(F.col("label")), "pinned": F.when(own, F.lit(int(bool(label.strip())))).otherwise(F.col("pinned"))})
+
+
+def reassign_face(faces: DataFrame, clusters: DataFrame, face_id: int, cluster_id: int | None) -> tuple[DataFrame, DataFrame]:
+    """One face goes to another cluster, or back to the pool (None); figures of the clusters are made anew."""
+    own = F.col("face_id") == face_id
+    target = F.lit(cluster_id).cast("long")
+    rows = faces.withColumns({"cluster_id": F.when(own, target).otherwise(F.col("cluster_id")), "assigned": F.when(own, F.lit(int(cluster_id is not None))).otherwise(F.col("assigned"))})
+    rows = stored(rows.select(faces.columns))
+    return rows, recompute(rows, clusters)
+
+
+def cluster_from(faces: DataFrame, clusters: DataFrame, face_ids: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The faces of ``face_ids`` (face_id) make a new cluster; a label that isn't blank pins it."""
+    new_id = (clusters.agg(F.max("cluster_id")).first()[0] or 0) + 1
+    rows = stored(_with_cluster(faces, face_ids.select("face_id").distinct().withColumn("new_cluster", F.lit(new_id).cast("long"))))
+    own = clusters.sparkSession.createDataFrame([(new_id, label, int(bool((label or "").strip())))], "cluster_id long, label string, pinned int")
+    return rows, recompute(rows, clusters.select("cluster_id", "label", "pinned").unionByName(own))
+
+
+def insert_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
+    """New faces get the next ids and wait for a cluster."""
+    top = faces.agg(F.coalesce(F.max("face_id"), F.lit(0)).alias("top"))
+    rows = positions(new, "photo_id", "photo_id", name="place").crossJoin(F.broadcast(top))  # one row
+    rows = rows.withColumns({"face_id": F.col("top") + F.col("place") + 1, "assigned": F.lit(0), "cluster_id": F.lit(None).cast("long")})
+    return stored(faces.unionByName(rows.select([n for n in rows.columns if n in faces.columns]), allowMissingColumns=True))

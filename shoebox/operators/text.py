@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import stored
+from ..sources.storage import stored
 
 TOKEN = r"[\p{L}\p{N}]+"
 WORD = re.compile(r"[^\W_]+")
@@ -26,7 +26,7 @@ def fold_text(text: str) -> str:
 
 
 def folded(text: Column | str) -> Column:
-    """fold_text as a column: plain ASCII stays in the JVM, other text goes through an Arrow batch."""
+    """fold_text as a column, by Arrow batches; the stored index does this once per text (fulltext.py)."""
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
@@ -65,6 +65,19 @@ def postings(texts: DataFrame, key: str = "photo_id", text: str = "text") -> Dat
     return rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
 
 
+def bm25_score(phrases: list[tuple[str, ...]], words: list[list[str]]) -> Column:
+    """The score from the columns dl, N, avgdl, and tf and n with the number of each phrase; each counts as often as the
+    query has it."""
+    score = F.lit(0.0)
+    for k, phrase in enumerate(phrases):
+        idf = F.log((F.col("N") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(1e-6)
+        tf = F.col(f"tf{k}")
+        one = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+        score = score - one * sum(tuple(w) == phrase for w in words)
+    return score
+
+
 def bm25(texts: DataFrame, query: str, limit: int | None = None, key: str = "photo_id", text: str = "text") -> DataFrame:
     """(key, score) of the texts with any word of the query, best (lowest) first, equal ones by key.
 
@@ -86,14 +99,7 @@ def bm25(texts: DataFrame, query: str, limit: int | None = None, key: str = "pho
     rows = stored(found.select(key, F.get("c", 0).alias("dl"), *(F.get("c", k + 1).alias(f"tf{k}") for k in range(size))))
     stats = rows.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(size)))
     scored = rows.where(" OR ".join(f"tf{k} > 0" for k in range(size))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for k, phrase in enumerate(distinct):
-        idf = F.log((F.col("N") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(1e-6)
-        tf = F.col(f"tf{k}")
-        one = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-        score = score - one * sum(tuple(w) == phrase for w in words)
-    found = scored.select(key, score.alias("score")).orderBy("score", key)
+    found = scored.select(key, bm25_score(distinct, words).alias("score")).orderBy("score", key)
     return found.limit(limit) if limit is not None else found
 
 

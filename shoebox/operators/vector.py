@@ -22,23 +22,32 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, key: str = "id",
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 
-def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, candidates: DataFrame | None = None, brute_max: int = DEFAULTS.brute_max, filtered_max: int = DEFAULTS.filtered_max, overfetch: int = DEFAULTS.overfetch) -> tuple[str, DataFrame]:
+def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, candidates: DataFrame | None = None, brute_max: int = DEFAULTS.brute_max, filtered_max: int = DEFAULTS.filtered_max, overfetch: int = DEFAULTS.overfetch, index=None) -> tuple[str, DataFrame]:
     """The tier and the hits (id, score).
 
     ``candidates`` (id) of None means no filter, and an empty one that nothing may be found. The tier follows from
     the number of candidates: 'hnsw', 'empty', 'brute', 'filtered_hnsw', or 'hnsw_postfilter', which takes the best
-    ``overfetch`` * k of all rows and then filters, and may give less than k. All tiers compute exact scores here.
+    ``overfetch`` * k of all rows and then filters, and may give less than k. With ``index`` (an ann.CellIndex over the
+    vectors) the tiers other than 'brute' look at its nearest cells only; without, every tier is exact.
     """
+
+    def near(many: int, allowed: DataFrame | None = None) -> DataFrame:
+        if index is not None:
+            return index.search(query, many, allowed)
+        return nearest(vectors if allowed is None else vectors.join(allowed, "id", "left_semi"), query, many)
+
     if candidates is None:
-        return "hnsw", nearest(vectors, query, k)
+        return "hnsw", near(k)
     allowed = candidates.select("id").distinct()
     n = allowed.limit(filtered_max + 1).count()
     if n == 0:
         return "empty", nearest(vectors.where("false"), query, k)
     if n > filtered_max:
-        hits = nearest(vectors, query, k * overfetch).join(allowed, "id", "left_semi")
+        hits = near(k * overfetch).join(allowed, "id", "left_semi")
         return "hnsw_postfilter", hits.orderBy(F.desc("score"), "id").limit(k)
-    return ("brute" if n <= brute_max else "filtered_hnsw"), nearest(vectors.join(allowed, "id", "left_semi"), query, k)
+    if n > brute_max:
+        return "filtered_hnsw", near(k, allowed)
+    return "brute", nearest(vectors.join(allowed, "id", "left_semi"), query, k)
 
 
 def _block_neighbours(rows: pd.DataFrame, k: int, itself: bool = False) -> pd.DataFrame:

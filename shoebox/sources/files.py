@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, IMAGE_EXTENSIONS
@@ -30,10 +32,43 @@ def scan_images(spark: SparkSession, roots: list[str], with_content: bool = Fals
     return rows.where(F.col("ext").isin(*IMAGE_EXTENSIONS) & ~F.col("path").rlike(r"/\.")).select(columns)
 
 
+def _origin() -> Column:
+    """The image source gives its files' names as URIs."""
+    return F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, channels, data) of decoded images, BGR; files that can't be decoded aren't there."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
-    return rows.where("height > 0").select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
+    return rows.where("height > 0").select(_origin().alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of a bounded list of paths that are there, in a form that readers take literally."""
+    out = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            out.append(re.sub(r"([\\*?\[\]{}])", r"\\\1", path))
+    return out
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of a bounded list of files; those that are gone aren't there."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "path string, content binary")
+    rows = spark.read.format("binaryFile").load(found)
+    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+
+
+def read_image_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """read_images of a bounded list of files."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+    rows = spark.read.format("image").load(found).select("image.*").where("height > 0")
+    return rows.select(F.regexp_replace(_origin(), "^file:/*", "/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
 def read_gazetteer(cities: DataFrame, min_population: int = DEFAULTS.min_population) -> DataFrame:

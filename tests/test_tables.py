@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shoebox.functions import pixels
 from shoebox.operators import maintenance, mutation, relational
 from shoebox.operators.ingest import MARKS, Pipeline, open_library
 from shoebox.sources import files, tables
@@ -176,6 +177,49 @@ def test_pipeline(spark, tmp_path, library):
     assert {r.state for r in library.read("jobs").collect()} == {"done"} and "faces" in MARKS
 
 
+def test_batches_that_fail_are_passed_over(spark, tmp_path, library):
+    root = tmp_path / "some [pictures]"
+    root.mkdir()
+    for k in range(5):
+        (root / f"{k}.png").write_bytes(png(300 + 100 * k, 40, k))
+    seen = []
+
+    def embed(rows):
+        ids = sorted(r.id for r in rows.collect())
+        seen.append(ids)
+        if 3 in ids and len(seen) < 9:
+            raise RuntimeError("a worker died")
+        return rows.select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+
+    run = Pipeline(library, [f"file://{tmp_path}"], embed=embed, group=True, batch=2)
+    first = run.run(10.0)
+    assert seen == [[1, 2], [3, 4], [5]] and first.done["embed"] == 3 and first.errored == 2 and first.state == "done"
+    assert set(first.groups) == {"event", "burst", "near_dup", "semantic"}
+    thumbs = {r.file: r for r in run.thumbnails().collect()}
+    assert len(thumbs) == 5 and all(max(r.width, r.height) == 256 and r.file.endswith(".png") for r in thumbs.values())
+    decoded = files.read_image_files(spark, [f"file://{root}/0.png", f"file://{root}/gone.png"]).collect()
+    assert [(r.width, r.height) for r in decoded] == [(40, 300)]
+    seen += [[]] * 9
+    second = run.run(20.0)
+    assert second.done["embed"] == 2 and second.errored == 0 and library.read("photos").where("embed_at IS NULL").count() == 0
+
+    def stop(rows):
+        run.cancel()
+        assert run.run(30.0) is run.current  # a second start gives the run that is going on
+        return rows.select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+
+    library.write("photos", library.read("photos").withColumn("embed_at", F.lit(None).cast("double")))
+    run.models["embed"] = stop
+    third = run.run(30.0)
+    assert third.state == "canceled" and third.done["embed"] == 2 and third.groups == {}
+
+
+def test_orientation():
+    image = np.arange(6, dtype=np.uint8).reshape(2, 3, 1).repeat(3, axis=2)
+    top = {k: pixels.oriented(image, k)[0, :, 0].tolist() for k in range(1, 9)}
+    assert top == {1: [0, 1, 2], 2: [2, 1, 0], 3: [5, 4, 3], 4: [3, 4, 5], 5: [0, 3], 6: [3, 0], 7: [5, 2], 8: [2, 5]}
+
+
 def test_scan_of_nothing(spark, tmp_path):
     assert files.scan_images(spark, [f"file://{tmp_path}/none"]).count() == 0
 
