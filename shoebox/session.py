@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def session(cores: int | str | None = None, **conf: str) -> SparkSession:
-    """A local session in UTC with adaptive execution; on a cluster the submitter's settings take precedence."""
+    """A local session in UTC with adaptive execution. On a cluster, jobs take the session that the submitter made: no
+    operator calls this, and all read spark.sql.shuffle.partitions and spark.checkpoint.dir from the session they are given."""
     n = cores or os.environ.get("BENCH_CPUS", "8")
     settings = {
         "spark.sql.session.timeZone": "UTC",
