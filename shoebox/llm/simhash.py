@@ -183,10 +183,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     root = c.shared_dir(docs.sparkSession)
     prints = c.written(fingerprints(docs, shingle), f"{root}/prints")
-    first = c.written(prints.groupBy("print").agg(F.min("doc_id").alias("first_doc")), f"{root}/first")
+    first = c.written(prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), f"{root}/first")
     nodes = first.where("first_doc IS NOT NULL").select(F.col("print").alias("node"), "print")
     joined = c.smallest_in_component(c.written(near_links(nodes, radius), f"{root}/links"))
-    least = joined.join(first.withColumnRenamed("print", "node"), "node").groupBy("component").agg(F.min("first_doc").alias("least"))
+    least = joined.join(first.select(F.col("print").alias("node"), "first_doc"), "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     of_print = joined.join(least, "component").select(F.col("node").alias("print"), "least")
-    of_print = first.join(of_print, "print", "left").select("print", F.coalesce("least", "first_doc").alias("component_id"))
-    return prints.join(of_print, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    # Only prints of several rows or with links are joined, from a stored table: a small one is broadcast after its size
+    # is known, and beside a large one adaptive execution can split the rows of a print that very many have.
+    of_print = first.join(of_print, "print", "left").where("n > 1 OR least IS NOT NULL").select("print", F.coalesce("least", "first_doc").alias("component_id"))
+    of_print = c.written(of_print.withColumn("shared", F.lit(True)), f"{root}/components")
+    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return prints.join(of_print, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), component)
