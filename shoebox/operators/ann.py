@@ -16,25 +16,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import nearest
+from .vector import fit_centres, nearest
 
 #: The centres are fitted on so many rows at most; cells number the square root of the rows, within these bounds.
 SAMPLE_ROWS, LEAST_CELLS, MOST_CELLS = 20_000, 8, 4_096
 ROWS = "id long, embedding array<float>, cell int"
 
 
-def fit_centres(sample: np.ndarray, cells: int, seed: int = 3, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means over the rows of a bounded sample."""
-    centres = sample[np.random.default_rng(seed).choice(len(sample), min(cells, len(sample)), replace=False)]
-    for _ in range(rounds):
-        near = np.argmax(sample @ centres.T, axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, sample)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    return centres
-
-
 class CellIndex:
     """An index in a folder: ``centres`` (one row), and runs of ``rows``, each sorted by cell."""
 

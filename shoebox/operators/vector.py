@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import scalars as fn
+from ..sources.storage import stored
 
 #: Vectors in a block of the neighbour graph; a pair of blocks is one matrix product.
 BLOCK_ROWS = 4_096
@@ -50,6 +52,18 @@ def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, candidat
     return "brute", nearest(vectors.join(allowed, "id", "left_semi"), query, k)
 
 
+def fit_centres(sample: np.ndarray, cells: int, seed: int = 3, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means over the rows of a bounded sample."""
+    centres = sample[np.random.default_rng(seed).choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(rounds):
+        near = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
+    return centres
+
+
 def _block_neighbours(rows: pd.DataFrame, k: int, itself: bool = False) -> pd.DataFrame:
     one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
     if one.empty or two.empty:
@@ -98,20 +112,21 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cell_knn(vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, sample: int = 20_000, key: str = "id", vector: str = "embedding", seed: int = 3) -> DataFrame:
+def cell_knn(vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000, key: str = "id", vector: str = "embedding", seed: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """knn over an inverted file: every row is in the cell of its nearest centre and is compared with its own ``probes``
-    nearest cells. The centres are fitted on at most ``sample`` rows; every row is indexed. Measure the recall against knn().
+    nearest cells (a quarter of them, eight at least). There are as many cells as the square root of the rows, within 8
+    and 4,096, unless ``cells`` is given. The centres are fitted on at most ``sample`` rows; every row is indexed.
+    Measure the recall against knn().
+
+    Cells and their queries are dealt into blocks of about ``block_rows``, so that no task holds a whole large cell.
     """
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     taken = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
     if not len(taken):
         return rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
-    rng = np.random.default_rng(seed)
-    centres = taken[rng.choice(len(taken), min(cells, len(taken)), replace=False)]
-    for _ in range(12):
-        near = np.argmax(taken @ centres.T, axis=1)
-        centres = np.stack([taken[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    cells = cells or max(8, min(4_096, math.isqrt(rows.count())))
+    centres = fit_centres(taken, cells, seed)
+    probes = probes or max(8, len(centres) // 4)
 
     def cell_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -119,11 +134,16 @@ def cell_knn(vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, samp
                 order = np.argsort(-(np.stack(b["v"].to_numpy()) @ centres.T), axis=1)[:, :probes]
                 yield b.assign(near=list(order.astype(np.int32)))
 
-    placed = rows.mapInPandas(cell_of, "id long, v array<double>, near array<int>")
-    home = placed.select("id", "v", F.get("near", 0).alias("j"), F.lit(1).alias("side"))
-    ask = placed.select("id", "v", F.explode("near").alias("j"), F.lit(0).alias("side"))
-    found = home.unionByName(ask).withColumn("i", F.lit(0)).groupBy("i", "j").applyInPandas(_task(k), "id long, other long, score double")
-    return _best(found, k)
+    placed = stored(rows.mapInPandas(cell_of, "id long, v array<double>, near array<int>"))
+    home = placed.select("id", "v", F.get("near", 0).alias("cell"))
+    ask = placed.select("id", "v", F.explode("near").alias("cell"))
+    blocks = lambda name: F.ceil(F.count("*") / block_rows).cast("int").alias(name)
+    sizes = home.groupBy("cell").agg(blocks("n")).join(ask.groupBy("cell").agg(blocks("m")), "cell", "full").na.fill(1)  # a row per cell
+    home, ask = home.join(F.broadcast(sizes), "cell"), ask.join(F.broadcast(sizes), "cell")
+    home = home.withColumn("j", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("side", F.lit(1))
+    ask = ask.withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("side", F.lit(0))
+    both = home.select("cell", "i", "j", "side", "id", "v").unionByName(ask.select("cell", "i", "j", "side", "id", "v"))
+    return _best(both.groupBy("cell", "i", "j").applyInPandas(_task(k), "id long, other long, score double"), k)
 
 
 def knn_graph(vectors: DataFrame, k: int = DEFAULTS.cluster_k, threshold: float = DEFAULTS.edge_threshold, key: str = "id", vector: str = "embedding") -> DataFrame:
