@@ -268,7 +268,9 @@ def substring_dedup(docs: DataFrame, batches: int = 3, window: int = WINDOW, gra
     # size is known, and beside a large one adaptive execution can split a hot window's rows.
     first = single.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     first = c.written(first.drop("last_doc"), f"{root}/repeated")
-    singles = single.join(first, ["one", "two"]).where("first_doc < doc_id").groupBy("doc_id", "row").agg(F.collect_set("start").alias("singles"))
+    # A semi-join: a window goes or stays, whatever the number of documents that have it.
+    earlier = (single["one"] == first["one"]) & (single["two"] == first["two"]) & (first["first_doc"] < single["doc_id"])
+    singles = single.join(first, earlier, "left_semi").groupBy("doc_id", "row").agg(F.collect_set("start").alias("singles"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + also
     step = partial(_cut, window=window, with_text=with_text, carry=[name for name, _, _ in others])
     return marked.join(singles, ["doc_id", "row"], "left").mapInArrow(step, schema)
