@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shoebox.llm import common as c
-from shoebox.llm.quality import accepted, fit_quality, fit_ranking, quality_scores, with_quality
+from shoebox.llm.quality import accepted, features, fit_features, fit_quality, fit_ranking, quality_scores, text_features, with_quality
 
 
 def test_held_out_accuracy(spark):
@@ -43,3 +44,31 @@ def test_clashing_names(spark, sf, odd_docs):
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
     with pytest.raises(ValueError):
         with_quality(docs, None)
+
+def _brute_model(docs, labels, modulus=3, held_out=1):
+    known = {}
+    for r in labels.collect():
+        if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % modulus != held_out:
+            known[r.doc_id] = min(r.quality, known.get(r.doc_id, 1))
+    rows = [(r.text, known[r.doc_id] == 1) for r in docs.collect() if r.doc_id in known]
+    return fit_ranking(text_features(pa.array([t for t, _ in rows], pa.string())), np.array([g for _, g in rows]))
+
+
+def _same(one, two):
+    for name in ("mean", "scale", "weights", "threshold"):
+        assert np.allclose(getattr(one, name), getattr(two, name), rtol=1e-6, atol=1e-6), name
+
+
+def test_model_is_that_of_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = c.documents(spark, sf), c.labels(spark, sf)
+    want = _brute_model(docs, labels)
+    _same(fit_quality(docs, labels), want)
+    _same(fit_features(features(docs), labels, part_rows=7, most=5), want)  # many parts, and a threshold that is narrowed down
+
+
+def test_no_training_row_is_left_out(spark):
+    # More rows than the 20,000 that the model was fitted on once; few of them are good.
+    docs = spark.range(33_000).selectExpr("id AS doc_id", "concat('Row ', id, repeat(' word', int(id % 9)), if(id % 800 = 0, ' GOOD GOOD.', ' bad, ##')) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 800 = 0 OR doc_id % 4001 = 0) AS quality")
+    _same(fit_quality(docs, labels), _brute_model(docs, labels))
