@@ -23,9 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard similarity 0.8 or more) the document with the smallest doc_id
-    stays; rows without an id stay."""
-    found = c.written(similar_texts(docs))
+    """Of each group of near-duplicates (five-word Jaccard similarity 0.8 or more; by SimHash, and by keys where that
+    doesn't reach) the document with the smallest doc_id stays; rows without an id stay."""
+    found = similar_texts(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").subtract(found.where("doc_id = component_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

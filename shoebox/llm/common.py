@@ -226,7 +226,7 @@ def same_bytes(one: np.ndarray, a: np.ndarray, b: np.ndarray, two: np.ndarray, a
 
 def pack_numbers(values: np.ndarray) -> bytes:
     """Whole numbers (int32 or int64) as zstandard bytes, plane of bytes by plane of bytes."""
-    wide = len(values) > 0 and values.dtype != np.int32 and int(values.max()) >= 1 << 31
+    wide = len(values) > 0 and values.dtype != np.int32 and max(int(values.max()), -1 - int(values.min())) >= 1 << 31
     values = values.astype("<i8" if wide else "<i4")
     planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
     return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -260,4 +260,5 @@ def smallest_in_component(edges: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("step"), F.col("component").alias("jump"))
         new = step.join(jump, "step", "left").select("node", F.least("step", "jump").alias("new"), F.col("component").alias("old"))
         now = written(new.select("node", F.col("new").alias("component"), (F.col("new") != F.col("old")).alias("changed")), f"{root}/round={k}")
+    discard(edges.sparkSession, f"{root}/links", *(f"{root}/round={i}" for i in range(k)))
     return now.select("node", "component")

@@ -1,9 +1,14 @@
-"""Near-duplicates by Jaccard similarity of word shingles, found exactly.
+"""Near-duplicates by SimHash of word shingles, made whole and exact by Jaccard similarity.
 
 A text is the set of its five-word shingles, as 64-bit hashes; two texts are near-duplicates if the sets have a
-similarity of 4/5 or more. In any order that all texts share, such sets have one of their first n/5 + 1 shingles in
-common, so that those are blocking keys. The order puts shingles last that a bounded sample finds often: it decides
-how large the blocks are, never what is found.
+similarity of 4/5 or more. First come the SimHash fingerprints of the texts' five-word shingles: they are compared bit
+plane by bit plane (see simhash), and in the groups that links of four bits join the sets are compared in full. What
+similarity joins there is a class.
+
+Texts of that similarity may differ in far more bits, so the rest is found by keys. In any order that all texts share,
+such sets have one of their first n/5 + 1 shingles in common, so that those are blocking keys; a block within one class
+has nothing left to find. The order puts shingles last that a bounded sample finds often: it decides how large the
+blocks are, never what is found.
 
 Blocks are compared by size and by parity bitmaps of a bit per shingle: sets of similarity 4/5 differ in at most
 (n1 + n2) / 9 shingles, and bitmaps never differ in more bits than the sets in shingles. What passes is joined to
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
+from .simhash import near_links, text_fingerprint
 
 SHINGLE = 5
 #: Rows of a chunk of a block, shingles of a chunk of a group, and what the order of shingles is fitted on.
@@ -72,6 +78,7 @@ def _signed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     common, times = shared.value
     for batch in c.text_slices(batches):
         nodes, sizes, bits, keys = [], [], [], []
+        prints = np.array([text_fingerprint((t or "").encode(), SHINGLE) for t in batch.column("text").to_pylist()], np.uint64)
         for h in shingle_sets(batch.column("text")):
             rank = np.zeros(len(h), np.int64)
             if len(common):
@@ -83,7 +90,8 @@ def _signed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             keys.append(h[np.lexsort((h, rank))[: len(h) // 5 + 1]].view(np.int64))
         lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "node", "n", "bits", "keys"])
+        columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "print", "n", "bits", "keys"])
 
 
 def _star(node: np.ndarray, size: np.ndarray, linked: Callable[[int, int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,36 +203,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["key", "node", "n", "bits"])
 
 
+def simhash_groups(nodes: DataFrame, root: str) -> DataFrame:
+    """(key, node, n, doc_id) of the nodes (node, print, n, first_doc) that chains of four bits of SimHash join to others."""
+    prints = nodes.select("print").distinct().select(F.col("print").alias("node"), "print")
+    joined = c.smallest_in_component(c.written(near_links(prints), f"{root}/prints"))
+    keyed = nodes.join(joined.withColumnRenamed("node", "print"), "print", "left")
+    keyed = keyed.select(F.coalesce("component", "print").alias("key"), "node", "n", F.col("first_doc").alias("doc_id"))
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
+
+
+def _verified(texts: DataFrame, groups: DataFrame, chunk_shingles: int, root: str) -> DataFrame:
+    """Links (src, dst) that join what similarity joins in the groups (key, node, n, doc_id), from the whole sets."""
+    sets = texts.join(groups, "doc_id").select("text", "key", "node", "n").mapInArrow(_sets, "key long, node long, n long, bits binary")
+    sets = c.written(sets.dropDuplicates(["node"]), f"{root}/sets")
+    sizes = sets.groupBy("key").agg(F.sum("n").alias("size"))
+    links = c.written(_compared(sets.join(sizes, "key"), F.ceil(F.col("size") / chunk_shingles), _group), f"{root}/links")
+    c.discard(texts.sparkSession, f"{root}/sets")
+    return links
+
+
 def similar_texts(docs: DataFrame, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): component_id, the smallest doc_id that links of similarity 4/5 or more reach.
 
     Texts without words are equal to each other. A row with a null doc_id gets the component of its equals and lends
     none its id; null if no row with an id is equal. Rows that repeat a doc_id are judged one by one. Other columns
-    are ignored.
+    are ignored. The result is stored.
     """
     spark = docs.sparkSession
     root = c.shared_dir(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(common_shingles(texts, sample))
-    signed = c.written(texts.mapInArrow(partial(_signed, shared=shared), "doc_id long, node long, n long, bits binary, keys array<long>"), f"{root}/signed")
+    signed = c.written(texts.mapInArrow(partial(_signed, shared=shared), "doc_id long, node long, print long, n long, bits binary, keys array<long>"), f"{root}/signed")
     own = signed.where("doc_id IS NOT NULL")
-    nodes = c.written(own.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("bits").alias("bits")), f"{root}/nodes")
+    # Equal sets may have several prints, as those count repeats; any of them will do.
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("print").alias("print"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    nodes = c.written(nodes, f"{root}/nodes")
+
+    by_print = _verified(texts, simhash_groups(nodes, root), chunk_shingles, f"{root}/by_print")
+    classes = c.smallest_in_component(by_print).withColumnRenamed("component", "class")
 
     keys = own.select(F.explode("keys").alias("key"), "node")
     met = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     rows = c.written(keys.join(met, "key").distinct(), f"{root}/keys")
+    classed = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     # Keys that have the same nodes give the same links.
-    blocks = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    blocks = blocks.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    blocks = classed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), (F.min("class") != F.max("class")).alias("open"))
+    blocks = blocks.where("open").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     rows = rows.join(blocks, "key").join(nodes.select("node", "n", "bits"), "node")
     near = c.smallest_in_component(c.written(_compared(rows, F.ceil(F.col("size") / chunk), _block), f"{root}/near"))
+    del keys, met, rows, classed, blocks
+    c.discard(spark, f"{root}/keys")
 
     groups = near.withColumnRenamed("component", "key").join(nodes.select("node", "n", F.col("first_doc").alias("doc_id")), "node")
-    sets = texts.join(groups, "doc_id").select("text", "key", "node", "n").mapInArrow(_sets, "key long, node long, n long, bits binary")
-    sets = c.written(sets.dropDuplicates(["node"]), f"{root}/sets")
-    sizes = sets.groupBy("key").agg(F.sum("n").alias("size"))
-    joined = c.smallest_in_component(c.written(_compared(sets.join(sizes, "key"), F.ceil(F.col("size") / chunk_shingles), _group), f"{root}/links"))
+    links = _verified(texts, groups, chunk_shingles, f"{root}/by_key")
+    joined = c.smallest_in_component(links.unionByName(by_print))
 
     least = joined.join(nodes, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     of_node = nodes.join(joined.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("component_id"))
-    return signed.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "component_id")
+    found = c.written(signed.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "component_id"), f"{root}/found")
+    c.discard(spark, *(f"{root}/{name}" for name in ("signed", "nodes", "prints", "by_print", "near", "by_key")))
+    return found

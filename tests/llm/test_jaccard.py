@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 from shoebox.llm import common as c
+from shoebox.llm import jaccard
 from shoebox.llm.jaccard import similar_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,3 +70,19 @@ def test_stage_keeps_one_of_each_group(spark, sf):
     kept = p.keep_one_of_near_duplicates(spark, docs, sf)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     assert 1 in want and 177 not in want  # similarity 0.83, yet 9 bits of SimHash apart
+
+
+def test_simhash_finds_its_links_before_the_keys_do(spark, sf, monkeypatch):
+    """Long texts with one word changed have one fingerprint or are a few bits apart: SimHash joins five pairs, and only the sixth
+    is left to the keys."""
+    rng = random.Random(9)
+    rows, compared, joined = [], [], []
+    for k in range(6):
+        words = [f"u{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-1] + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    in_blocks, links = jaccard._compared, jaccard.near_links
+    monkeypatch.setattr(jaccard, "_compared", lambda rows, parts, by: (compared.append((by is jaccard._block, rows.count())), in_blocks(rows, parts, by))[1])
+    monkeypatch.setattr(jaccard, "near_links", lambda nodes: (joined.append(links(nodes).distinct().count()), links(nodes))[1])
+    assert Counter(map(tuple, p.similar_texts(docs).collect())) == Counter(brute(rows))
+    assert joined[0] > 0 and compared == [(False, 10), (True, 2), (False, 2)]
