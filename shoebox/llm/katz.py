@@ -42,8 +42,9 @@ SEED = 0x51ED270B9F9A3C4D
 #: log10 probabilities are whole multiples of 2**-24 on their way.
 UNIT = float(1 << 24)
 LOWER = np.frombuffer(c.LOWER_ASCII, np.uint8)
-SLICES = "slice long, n long, doc_ids array<long>, train array<boolean>, ends array<int>, keys array<long>, checks array<long>, counts array<long>, tokens binary"
-NUMBERED = "slice long, doc_ids array<long>, train array<boolean>, ends array<int>, words array<long>, tokens binary"
+SLICES = "kind string, slice long, n long, doc_ids array<long>, train array<boolean>, ends array<int>, keys array<long>, checks array<long>, counts array<long>, tokens binary"
+NUMBERS = "slice long, bucket int, ids binary"
+NUMBERED = "slice long, doc_ids array<long>, train array<boolean>, ends array<int>, words binary, tokens binary"
 REQUESTS = "bucket int, slice long, request binary"
 BUCKETS = "bucket int, slices array<long>, requests array<binary>, of_3 array<long>, of_2 array<long>, hot array<struct<v:bigint,w:bigint,c:bigint>>"
 ANSWERS = "slice long, bucket int, answer binary"
@@ -116,7 +117,8 @@ def unigrams(of_count: list[tuple[int, int]]) -> Unigrams:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Tokenised slices: distinct words by key with their training counts, and the tokens as places among them."""
+    """Tokenised slices, as two rows each: distinct words by key with their training counts, and the tokens as places
+    among them."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -124,7 +126,7 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_tokens: int) ->
     end = [c.word_keys(np.zeros(0, np.uint8), none, none, s)[0] for s in (seed, ~seed & 0xFFFFFFFFFFFFFFFF)]
     docs, train, sizes, keys, size = [], [], [], ([], []), 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         one, two = (np.concatenate(k) for k in keys)
         own = np.concatenate(sizes)
         learnt = np.concatenate(train)
@@ -143,8 +145,11 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_tokens: int) ->
             "counts": [np.append(counts, np.zeros(len(clash), np.int64))],
             "tokens": [c.pack_numbers(place.astype(np.int32))],
         }
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, list) else v for v, k in zip(row.values(), kinds)], names=list(row))
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.binary())
+        row = {n: pa.array(v, k) if isinstance(v, list) else v for (n, v), k in zip(row.items(), types)}
+        for kind in ("words", "texts"):  # a slice's row has what its kind needs
+            own = lambda n: n == "slice" or (n in ("keys", "checks", "counts")) == (kind == "words")  # noqa: B023, E731
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind])} | {n: v if own(n) else pa.nulls(1, v.type) for n, v in row.items()})
 
     for batch in c.text_slices(batches):
         data, offsets = c.byte_view(batch.column("text"))
@@ -162,29 +167,48 @@ def _slices(batches: Iterator[pa.RecordBatch], seed: int, slice_tokens: int) ->
         sizes.append(own)
         size += len(inner)
         if size >= slice_tokens:
-            yield flush()
+            yield from flush()
             number, docs, train, sizes, keys, size = number + 1, [], [], [], ([], []), 0
     if docs:
-        yield flush()
-
+        yield from flush()
 
-def _in_key_order(rows: pa.Table) -> pa.Table:
-    """The numbers of a slice's words, in the order of their keys."""
-    order = rows.column("key").to_numpy().view(np.uint64).argsort()
-    return pa.table({"of": rows.column("of")[:1].combine_chunks(), "ids": pa.array([rows.column("id").to_numpy()[order]], pa.list_(pa.int64()))})
 
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices with the numbers of their words in the place of the keys."""
+def _keys_asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A slice's keys by bucket; buckets are ranges of keys, so that answers come in the order of the keys."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words, place = np.unique(batch.column("ids")[i].values.to_numpy(), return_inverse=True)
-            tokens = place[c.unpack_numbers(batch.column("tokens")[i].as_py())]
-            same = {n: batch.column(n)[i : i + 1] for n in ("slice", "doc_ids", "train", "ends")}
-            yield pa.RecordBatch.from_pydict(same | {"words": pa.array([words], pa.list_(pa.int64())), "tokens": pa.array([c.pack_numbers(tokens.astype(np.int32))], pa.binary())})
+            keys = batch.column("keys")[i].values.to_numpy().view(np.uint64)
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            asked = [keys[lo:hi].tobytes() for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)])]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge]), "slice": pa.repeat(batch.column("slice")[i], len(edge)), "asked": pa.array(asked, pa.binary())})
         c.give_back()
 
 
+def _key_numbers(left: pa.Table, right: pa.Table, unknown: int) -> pa.Table:
+    """The numbers of the keys that the slices ask a bucket for; ``unknown`` where it has none."""
+    key = right.column("key").to_numpy().view(np.uint64)
+    order = key.argsort()
+    key, number = np.append(key[order], np.uint64(0)), np.append(right.column("id").to_numpy()[order], unknown)
+    ids = []
+    for asked in left.column("asked").to_pylist():
+        wanted = np.frombuffer(asked, np.uint64)
+        at = np.searchsorted(key[:-1], wanted)
+        ids.append(c.pack_numbers(np.where(key[at] == wanted, number[at], unknown)))
+    return pa.table({"slice": left.column("slice"), "bucket": left.column("bucket"), "ids": pa.array(ids, pa.binary())})
+
+
+def _numbered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A slice with the numbers of its words, as steps, in the place of the keys."""
+    order = right.column("bucket").to_numpy().argsort()
+    ids = np.concatenate([c.unpack_numbers(right.column("ids")[i].as_py()).astype(np.int64) for i in order.tolist()])
+    words, place = np.unique(ids, return_inverse=True)
+    tokens = place[c.unpack_numbers(left.column("tokens")[0].as_py())]
+    packed = [c.pack_numbers(x) for x in (np.diff(words, prepend=0), tokens.astype(np.int32))]
+    c.give_back()
+    return pa.table({n: left.column(n) for n in ("slice", "doc_ids", "train", "ends")} | {n: pa.array([x], pa.binary()) for n, x in zip(("words", "tokens"), packed)})
+
+
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the distinct rows of equally long columns of whole numbers, in ascending order, and each row's place
     among them."""
@@ -247,7 +271,8 @@ def _slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             value = lambda n: batch.column(n)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            yield batch.column("slice")[i].as_py(), value("words"), c.unpack_numbers(batch.column("tokens")[i].as_py()), value("ends"), value("train").astype(bool)
+            words, tokens = (c.unpack_numbers(batch.column(n)[i].as_py()) for n in ("words", "tokens"))
+            yield batch.column("slice")[i].as_py(), np.cumsum(words, dtype=np.int64), tokens, value("ends"), value("train").astype(bool)
 
 
 def _requests(batches: Iterator[pa.RecordBatch], one: Unigrams, buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
@@ -413,16 +438,18 @@ def _scores(left: pa.Table, right: pa.Table, one: Unigrams, buckets: int, hot: i
     )
 
 
-def _tokenised(texts: DataFrame, root: str, slice_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """The slices, and the table of all words (key, c). Should two words ever have one key, other keys are taken."""
+def _tokenised(texts: DataFrame, root: str, slice_tokens: int) -> tuple[DataFrame, DataFrame, str]:
+    """The slices, the table of all words (key, c), and the folder of the slices, which has one for each kind of row.
+    Should two words ever have one key, other keys are taken."""
     for attempt in range(8):
         step = partial(_slices, seed=SEED + 2 * attempt, slice_tokens=slice_tokens)
-        slices = c.written(texts.mapInArrow(step, SLICES), f"{root}/slices={attempt}")
-        words = slices.selectExpr("inline(arrays_zip(keys, checks, counts)) AS (key, check, count)").groupBy("key")
+        path = f"{root}/slices/{attempt}"
+        slices = c.written(texts.mapInArrow(step, SLICES), path, ["kind"])
+        words = slices.where("kind = 'words'").selectExpr("inline(arrays_zip(keys, checks, counts)) AS (key, check, count)").groupBy("key")
         words = c.written(words.agg(F.sum("count").alias("c"), (F.min("check") != F.max("check")).alias("clash")), f"{root}/order=1/{attempt}")
         if not words.where("clash").limit(1).count():
-            return slices, words.select("key", "c")
-        c.discard(texts.sparkSession, f"{root}/slices={attempt}")
+            return slices, words.select("key", "c"), path
+        c.discard(texts.sparkSession, path)
     raise RuntimeError("no keys tell all words apart")
 
 
@@ -437,7 +464,7 @@ def katz_scores(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, bucket_rows:
     spark = docs.sparkSession
     root = c.shared_dir(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", c.crc_remainder(10) != 0)
-    slices, words = _tokenised(texts, root, slice_tokens)
+    slices, words, sliced = _tokenised(texts, root, slice_tokens)
     one = unigrams([(r.c, r.n) for r in words.where("c > 0").groupBy("c").agg(F.count("*").alias("n")).collect()])
     # Numbers by falling count: sorted ranges, and a table of one row per range.
     ranges = words.where("c > 0").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("c"), "key").sortWithinPartitions(F.desc("c"), "key")
@@ -449,15 +476,19 @@ def katz_scores(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, bucket_rows:
         offsets[r.part], before = before, before + r.n
     start = spark.createDataFrame([*offsets.items()], "part long, start long")
     numbers = ranges.join(F.broadcast(start), part == F.col("part")).select("key", (F.col("start") + inside).alias("id"))
-    pairs = slices.select(F.col("slice").alias("of"), F.explode("keys").alias("key")).join(numbers, "key", "left").select("of", "key", F.coalesce("id", F.lit(one.types)).alias("id"))
-    ids = c.written(pairs.groupBy("of").applyInArrow(_in_key_order, "of long, ids array<long>"), f"{root}/ids")
-    del pairs, numbers
-    c.discard(spark, f"{root}/numbers")
     n = slices.agg(F.sum("n")).first()[0] or 0
-    whole = slices.select("slice", "doc_ids", "train", "ends", "tokens").join(ids, F.col("slice") == F.col("of"))
-    whole = c.written(whole.mapInArrow(_numbered, NUMBERED), f"{root}/texts")
-    c.discard(spark, *(f"{root}/slices={k}" for k in range(8)), f"{root}/ids")
     buckets = max(1, -(-n // bucket_rows))
+    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
+    asked = slices.where("kind = 'words'").select("slice", "keys").mapInArrow(partial(_keys_asked, buckets=buckets), "bucket int, slice long, asked binary")
+    unknown = one.types
+    ids = asked.groupBy("bucket").cogroup(numbers.withColumn("bucket", bucket).groupBy("bucket"))
+    ids = c.written(ids.applyInArrow(lambda left, right: _key_numbers(left, right, unknown), NUMBERS), f"{root}/ids")
+    del asked, numbers, words, ranges
+    c.discard(spark, f"{root}/numbers", f"{root}/order=1", f"{sliced}/kind=words")
+    whole = slices.where("kind = 'texts'").select("slice", "doc_ids", "train", "ends", "tokens").groupBy("slice").cogroup(ids.groupBy("slice"))
+    whole = c.written(whole.applyInArrow(_numbered, NUMBERED), f"{root}/texts")
+    del slices, ids
+    c.discard(spark, sliced, f"{root}/ids")
     sizes = dict(one=one, hot=hot)
     asked = whole.mapInArrow(partial(_requests, buckets=buckets, **sizes), REQUESTS).groupBy("bucket").applyInArrow(lambda rows: _bucket(rows, **sizes), BUCKETS)
     table = c.written(asked, f"{root}/order=3")

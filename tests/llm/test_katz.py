@@ -145,3 +145,19 @@ def test_rows_of_wide_numbers():
 def test_discounts():
     assert all(0 < x <= 1 for x in katz.good_turing({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6})[1:])
     assert katz.good_turing({1: 3})[1] == 0.5
+
+
+def test_what_is_read_no_more_is_deleted(spark, sf, tmp_path, monkeypatch):
+    """When the texts have their numbers, neither keys nor slices are left on the disk."""
+    seen, written = {}, c.written
+
+    def watched(df, path=None, partition_by=None):
+        out = written(df, path, partition_by)
+        seen[path.split("/")[-1]] = {p.parent.name for p in tmp_path.rglob("part-*") if p.suffix == ".parquet"}
+        return out
+
+    monkeypatch.setattr(c, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(c, "written", watched)
+    assert katz_scores(c.documents(spark, sf)).count() == c.documents(spark, sf).count()
+    assert "kind=words" in seen["ids"] and seen["texts"] == {"kind=texts", "ids", "texts"}
+    assert seen["order=3"] == {"texts", "order=3"} and seen["answers"] == {"texts", "order=3", "answers"}
