@@ -148,9 +148,9 @@ class FingerprintIndex:
             same = (new.anchor == old.anchor) & (new.segment == old.segment) & (new.check == old.check) & (old.known <= new.first_doc)
             new = new.join(old, same, "left_anti")
         self.runs.append(self._run(new))
-        if len(self.runs) > self.fanout:
-            self.runs = [self._run(self.rows())]
         self._record()
+        if len(self.runs) > self.fanout:
+            self.compact()
 
     def rows(self) -> DataFrame:
         """One row per fingerprint over all runs."""
@@ -162,9 +162,12 @@ class FingerprintIndex:
         return every.groupBy(*KEYS).agg(F.min("first_doc").alias("first_doc"))
 
     def compact(self) -> None:
+        """Makes one run of all; the former ones are deleted when the manifest no longer lists them."""
         if len(self.runs) > 1:
+            old = [path for _, path, _ in self.runs]
             self.runs = [self._run(self.rows())]
             self._record()
+            c.discard(self.spark, *old)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +260,9 @@ def substring_dedup(docs: DataFrame, batches: int = 3, window: int = WINDOW, gra
         seen.where("NOT whole").join(several, "anchor").select("doc_id", "row", "start", "windows", "whole")
     )
     marks = c.written(marks.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows", "whole")).alias("marks")), f"{root}/marks")
+    # What marks were made from is read no more; its shuffle files go with it.
+    del found, index, known, several, seen
+    c.discard(spark, f"{root}/segments", f"{root}/index")
     others = [(f"in_{f.name}", f.dataType.simpleString(), F.col(f"`{f.name}`")) for f in docs.schema if carry and f.name not in ("doc_id", "text")]
     also = "".join(f", `{name}` {kind}" for name, kind, _ in others)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text", *(col.alias(name) for name, _, col in others))

@@ -81,3 +81,20 @@ def test_patterns_and_wide_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for batches in (1, 3):
         assert Counter(map(tuple, substring_dedup(docs, batches=batches).collect())) == brute(rows)
+
+
+def test_segments_and_index_are_deleted(spark, sf, tmp_path, monkeypatch):
+    """When the marks are stored, neither the segments nor a run of the index is left on the disk."""
+    docs = c.documents(spark, sf)
+    monkeypatch.setattr(c, "shared_dir", lambda spark: str(tmp_path))
+    out = substring_dedup(docs)
+    assert {p.name for p in tmp_path.iterdir()} == {"marks", "windows", "repeated"} and out.count() == docs.count()
+
+
+def test_compaction_deletes_the_former_runs(spark):
+    index = FingerprintIndex(spark, fanout=1)
+    for k in range(3):
+        index.add(spark.createDataFrame([(k, k, k, k)], "anchor long, segment long, check long, doc_id long"))
+    again = FingerprintIndex(spark, index.root)
+    files = {r.f.rsplit("/", 2)[1] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{index.root}/fingerprint_run_*").selectExpr("input_file_name() AS f").collect()}
+    assert len(files) == 1 and again.rows().count() == 3
